@@ -6,7 +6,8 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,21 +24,16 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def edge_index(c: Column, edges: Sequence[float]) -> Column:
-    """How many of the ascending ``edges`` are <= ``c`` (NULL stays NULL).
+    """How many of a few ``edges`` are <= ``c`` (NULL stays NULL)."""
+    return sum(((c >= F.lit(float(e))).cast("int") for e in edges), F.lit(0))
 
-    Built as a balanced tree of comparisons, so a value costs log2(len(edges))
-    comparisons inside generated code.
-    """
 
-    def between(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(c < F.lit(float(edges[middle])), between(low, middle)).otherwise(
-            between(middle + 1, high)
-        )
-
-    return F.when(c.isNotNull(), between(0, len(edges)))
+def with_step(df: DataFrame, column: str, edges: Sequence[float], name: str) -> DataFrame:
+    """Add how many of the ascending ``edges`` are <= ``column``, by binary search."""
+    search = Bucketizer(
+        splits=[-math.inf, *edges, math.inf], inputCol=column, outputCol=name, handleInvalid="skip"
+    )
+    return search.transform(df).withColumn(name, F.col(name).cast("int"))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -22,6 +22,15 @@ SKETCH_ACCURACY = 10_000  # rank error of percentile_approx is at most rows / ac
 FEW_VALUES = 200_000  # values per wanted rank that are ranked directly
 
 
+@dataclass(frozen=True)
+class RankedValue:
+    """A value with the number of rows under it and equal to it."""
+
+    value: float
+    under: int
+    tied: int
+
+
 @dataclass(frozen=True)
 class _Bracket:
     """The wanted value lies strictly between ``low`` and ``high`` (None: open end);
@@ -34,7 +43,7 @@ class _Bracket:
     low: float | None = None
     high: float | None = None
     slack: int = 2
-    value: float | None = None
+    found: RankedValue | None = None
 
     def holds(self) -> Column:
         condition = F.col(self.column).isNotNull()
@@ -45,7 +54,7 @@ class _Bracket:
         return condition
 
     def settled(self, few: int) -> bool:
-        return self.value is not None or self.inside <= few
+        return self.found is not None or self.inside <= few
 
 
 def _narrow(df: DataFrame, brackets: Sequence[_Bracket]) -> list[_Bracket]:
@@ -81,16 +90,16 @@ def _narrow(df: DataFrame, brackets: Sequence[_Bracket]) -> list[_Bracket]:
     out = []
     for i, b in enumerate(brackets):
         low, high = ends[i]
-        at_low = counted[f"under_{i}"]
-        above_low = at_low + counted[f"low_{i}"]
+        under = counted[f"under_{i}"]
+        above_low = under + counted[f"low_{i}"]
         at_high = above_low + counted[f"inside_{i}"]
         past = at_high + counted[f"high_{i}"]
-        if not at_low <= b.rank < past:
+        if not under <= b.rank < past:
             out.append(replace(b, slack=b.slack * 4))
         elif b.rank < above_low:
-            out.append(replace(b, value=low))
+            out.append(replace(b, found=RankedValue(low, under, counted[f"low_{i}"])))
         elif b.rank >= at_high:
-            out.append(replace(b, value=high))
+            out.append(replace(b, found=RankedValue(high, at_high, counted[f"high_{i}"])))
         else:
             out.append(
                 replace(
@@ -105,11 +114,11 @@ def order_statistics(
     ranks: Mapping[str, Callable[[int], Sequence[int]]],
     *,
     few: int = FEW_VALUES,
-) -> tuple[dict[str, int], dict[str, dict[int, float]]]:
+) -> tuple[dict[str, int], dict[str, dict[int, RankedValue]]]:
     """The values at 0-based ascending ``ranks[column](n)`` among ``n`` usable values.
 
     NULL, NaN and infinities are not values. Columns are compared as doubles.
-    Returns the counts and, per column, ``{rank: value}``.
+    Returns the counts and, per column, ``{rank: RankedValue}``.
     """
     names = list(ranks)
     values = df.select(*[finite_or_null(F.col(c)).alias(c) for c in names])
@@ -123,11 +132,11 @@ def order_statistics(
     while any(not b.settled(few) for b in brackets):
         narrowed = iter(_narrow(values, [b for b in brackets if not b.settled(few)]))
         brackets = [b if b.settled(few) else next(narrowed) for b in brackets]
-    result: dict[str, dict[int, float]] = {c: {} for c in names}
+    result: dict[str, dict[int, RankedValue]] = {c: {} for c in names}
     open_brackets: dict[tuple, list[_Bracket]] = {}
     for b in brackets:
-        if b.value is not None:
-            result[b.column][b.rank] = b.value
+        if b.found is not None:
+            result[b.column][b.rank] = b.found
         else:
             open_brackets.setdefault((b.column, b.low, b.high), []).append(b)
     cells = list(open_brackets.values())
@@ -147,7 +156,7 @@ def order_statistics(
         )
     )
     wanted = F.array(
-        *[F.array(*[F.lit(b.rank - b.below) for b in cell]) for cell in cells]
+        *[F.array(*[F.lit(b.rank - b.below).cast("long") for b in cell]) for cell in cells]
     )
     so_far = Window.partitionBy("cell").orderBy("value")  # at most `few` values a cell
     picked = (
@@ -157,11 +166,12 @@ def order_statistics(
         .withColumn("upto", F.sum("rows").over(so_far))
         .withColumn("rank", F.explode(F.element_at(wanted, F.col("cell") + 1)))
         .where((F.col("upto") - F.col("rows") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
-        .select("cell", "rank", "value")
     )
     for row in picked.collect():  # one row per wanted rank
         b = cells[row["cell"]][0]
-        result[b.column][row["rank"] + b.below] = row["value"]
+        result[b.column][row["rank"] + b.below] = RankedValue(
+            row["value"], b.below + row["upto"] - row["rows"], row["rows"]
+        )
     return counts, result
 
 
@@ -186,8 +196,11 @@ def exact_quantiles(
                 out[c].append(None)
                 continue
             place = (counts[c] - 1) * p
-            low, high = found[c][math.floor(place)], found[c][math.ceil(place)]
-            out[c].append(low + (high - low) * (place - math.floor(place)))
+            share = place - math.floor(place)
+            low, high = found[c][math.floor(place)].value, found[c][math.ceil(place)].value
+            out[c].append(
+                low + (high - low) * share if share < 0.5 else high - (high - low) * (1 - share)
+            )
     return out
 
 
@@ -204,21 +217,26 @@ class TopCut:
     last_key: object | None  # None: every row with this score is inside
 
     def contains(self, score: Column, key: Column) -> Column:
-        value = sortable_score(score)
-        tied = value == F.lit(self.score)
+        """``score`` must have gone through ``sortable_score``."""
+        tied = score == F.lit(self.score)
         if self.last_key is not None:
             tied = tied & (key <= F.lit(self.last_key))
-        return (value > F.lit(self.score)) | tied
+        return (score > F.lit(self.score)) | tied
 
 
 _LOWEST = -1.7976931348623157e308
 
 
 def sortable_score(score: Column) -> Column:
-    """Undefined scores sort last."""
+    """A double; undefined scores sort last."""
     return F.coalesce(finite_or_null(score), F.lit(_LOWEST))
 
 
+def position_among(cuts: Sequence[TopCut], score: Column, key: Column) -> Column:
+    """How many of the nested ``cuts`` a row lies outside of: 0 for the best rows."""
+    return sum(((~cut.contains(score, key)).cast("int") for cut in cuts), F.lit(0))
+
+
 def top_cuts(
     df: DataFrame,
     scores: Mapping[str, Column],
@@ -251,60 +269,54 @@ def top_cuts(
         return ranks
 
     counts, found = order_statistics(work, {s: ranks_for(s) for s in scores}, few=few)
-    edges = sorted({(s, v) for s in scores for v in found[s].values()})
-    if not edges:
-        return counts, {s: [] for s in scores}
-    tallies = work.agg(
-        *[
-            c
-            for i, (s, v) in enumerate(edges)
-            for c in (
-                F.count_if(F.col(s) > F.lit(v)).alias(f"above_{i}"),
-                F.count_if(F.col(s) == F.lit(v)).alias(f"tied_{i}"),
-            )
-        ]
-    ).first()
-    place = {edge: i for i, edge in enumerate(edges)}
-    partial: dict[tuple[int, int], object] = {}
-    for s in scores:
-        for m in wanted.get(s, []):
-            if m > 0:
-                i = place[(s, found[s][counts[s] - m])]
-                need = m - tallies[f"above_{i}"]
-                if need < tallies[f"tied_{i}"]:
-                    partial[(i, need - 1)] = None
-    if partial:
-        ties = work.select(
-            key,
-            F.explode(
-                F.array_compact(
-                    F.array(
-                        *[
-                            F.when(F.col(edges[i][0]) == F.lit(edges[i][1]), F.lit(i))
-                            for i in sorted({i for i, _ in partial})
-                        ]
-                    )
-                )
-            ).alias("edge"),
-        )
-        ranked = global_rank(ties, [F.col(key).asc()], by=["edge"])
-        pairs = F.struct(F.col("edge").cast("int"), F.col("rank").cast("long"))
-        hits = ranked.where(
-            pairs.isin(
-                *[F.struct(F.lit(i), F.lit(r).cast("long")) for i, r in partial]
-            )
-        )
-        for row in hits.collect():  # one row per cut that splits a tie
-            partial[(row["edge"], row["rank"])] = row[key]
-    cuts: dict[str, list[TopCut]] = {}
+    cuts: dict[str, list[TopCut]] = {s: [] for s in scores}
+    split_ties: dict[tuple[str, float, int], RankedValue] = {}
     for s in scores:
-        cuts[s] = []
         for m in wanted.get(s, []):
             if m == 0:
                 cuts[s].append(TopCut(0, math.inf, None))
                 continue
-            v = found[s][counts[s] - m]
-            i = place[(s, v)]
-            need = m - tallies[f"above_{i}"]
-            cuts[s].append(TopCut(m, v, partial.get((i, need - 1))))
-    return counts, cuts
+            at = found[s][counts[s] - m]
+            need = m - (counts[s] - at.under - at.tied)
+            cuts[s].append(TopCut(m, at.value, need))
+            if need < at.tied:
+                split_ties[(s, at.value, need)] = at
+    last_keys = _keys_at(work, key, split_ties, few) if split_ties else {}
+    return counts, {
+        s: [replace(c, last_key=last_keys.get((s, c.score, c.last_key))) for c in cuts[s]]
+        for s in scores
+    }
+
+
+def _keys_at(
+    work: DataFrame, key: str, wanted: Mapping[tuple[str, float, int], RankedValue], few: int
+) -> dict[tuple[str, float, int], object]:
+    """The ``need``-th smallest key among the rows tied at each (column, value)."""
+    edges = sorted({(s, v) for s, v, _ in wanted})
+    ties = work.select(
+        key,
+        F.explode(
+            F.array_compact(
+                F.array(
+                    *[F.when(F.col(s) == F.lit(v), F.lit(i)) for i, (s, v) in enumerate(edges)]
+                )
+            )
+        ).alias("edge"),
+    )
+    if max(at.tied for at in wanted.values()) <= few:
+        in_key_order = Window.partitionBy("edge").orderBy(key)  # at most `few` rows a group
+        ranked = ties.withColumn("rank", F.row_number().over(in_key_order) - 1)
+    else:
+        ranked = global_rank(ties, [F.col(key).asc()], by=["edge"])
+    asked = F.array(
+        *[
+            F.array(*[F.lit(need - 1).cast("long") for s, v, need in wanted if (s, v) == edge])
+            for edge in edges
+        ]
+    )
+    hits = ranked.where(
+        F.array_contains(F.element_at(asked, F.col("edge") + 1), F.col("rank").cast("long"))
+    )
+    return {
+        (*edges[row["edge"]], row["rank"] + 1): row[key] for row in hits.collect()
+    }  # one row per cut that splits a tie

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.hashing import hash_number
-from stayline.operators.quantiles import TopCut, top_cuts
+from stayline.operators.quantiles import TopCut, position_among, top_cuts
 
 
 def strata_values(df: DataFrame, stratum: Column) -> list:
@@ -31,7 +31,7 @@ def _hash_cuts(
     sizes: Callable[[int], Sequence[int]],
 ) -> tuple[Column, dict[object, list[TopCut]]]:
     """Cuts of the smallest hashes per stratum (the score is the negated hash)."""
-    score = -hash_number(seed, F.col(key)).cast("double")
+    score = -hash_number(seed, F.col(key)).cast("double")  # never NULL for a key
     values = strata_values(df, stratum)
     names = {f"s{i}": v for i, v in enumerate(values)}
     _, cuts = top_cuts(
@@ -78,13 +78,12 @@ def assign_folds(
         return [-(-i * n // folds) for i in range(1, folds)]
 
     score, cuts = _hash_cuts(df, key, stratum, f"{seed}:fold", sizes)
+    hashed = df.withColumn("_hash", score)
     fold = F.lit(None).cast("int")
     for value, edges in cuts.items():
-        inner = F.lit(folds - 1)
-        for i in range(len(edges) - 1, -1, -1):
-            inner = F.when(edges[i].contains(score, F.col(key)), F.lit(i)).otherwise(inner)
+        inner = position_among(edges, F.col("_hash"), F.col(key))
         fold = F.when(stratum == F.lit(value), inner).otherwise(fold)
-    return df.withColumn(name, fold)
+    return hashed.withColumn(name, fold).drop("_hash")
 
 
 def hash_sample(df: DataFrame, key: str, rows: int, seed: int | str = 42) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions.hashing import hash_uniform
-from stayline.functions.numbers import edge_index, ratio
-from stayline.operators.quantiles import exact_quantiles, top_cuts
+from stayline.functions.numbers import ratio, with_step
+from stayline.operators.quantiles import exact_quantiles, position_among, sortable_score, top_cuts
 
 TARGET_FRACTIONS = (0.10, 0.20, 0.30, 0.50, 1.00)  # fixed values
 
@@ -60,8 +60,9 @@ def optimize_threshold(
         raise ValueError("There is no uplift value or threshold to compare")
     spark = scored.sparkSession
     per_interval = (
-        scored.groupBy(edge_index(F.col(uplift).cast("double"), grid).alias("step"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum(uplift).alias("total"))
+        with_step(scored.select(F.col(uplift).cast("double").alias("_uplift")), "_uplift", grid, "step")
+        .groupBy("step")
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum("_uplift").alias("total"))
         .where("step > 0")
     )
     at_least = Window.orderBy(F.desc("step"))  # one row per threshold
@@ -147,22 +148,24 @@ def compare_policies(
         "policy string, tier int, target_fraction double, customers_targeted long",
     )
 
-    def tier(policy: str) -> Column:
-        out = F.lit(None).cast("int")
-        for i in reversed(range(len(shares))):
-            inside = cuts[policy][i].contains(policies[policy], F.col(key))
-            out = F.when(inside, F.lit(i)).otherwise(out)
-        return out
-
+    ranked = scored.select(
+        key, "t", "y", *[sortable_score(score).alias(f"_{p}") for p, score in policies.items()]
+    )
     memberships = F.inline(
         F.array(
-            *[F.struct(F.lit(p).alias("policy"), tier(p).alias("tier")) for p in policies]
+            *[
+                F.struct(
+                    F.lit(p).alias("policy"),
+                    position_among(cuts[p], F.col(f"_{p}"), F.col(key)).alias("tier"),
+                )
+                for p in policies
+            ]
         )
     )
     t, y = F.col("t").cast("long"), F.col("y").cast("long")
     per_tier = (
-        scored.select("t", "y", memberships)
-        .where("tier is not null")
+        ranked.select("t", "y", memberships)
+        .where(F.col("tier") < len(shares))
         .groupBy("policy", "tier")
         .agg(
             F.count(F.lit(1)).alias("n"),
