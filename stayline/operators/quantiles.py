@@ -113,16 +113,19 @@ def order_statistics(
     df: DataFrame,
     ranks: Mapping[str, Callable[[int], Sequence[int]]],
     *,
+    counts: Mapping[str, int] | None = None,
     few: int = FEW_VALUES,
 ) -> tuple[dict[str, int], dict[str, dict[int, RankedValue]]]:
     """The values at 0-based ascending ``ranks[column](n)`` among ``n`` usable values.
 
     NULL, NaN and infinities are not values. Columns are compared as doubles.
+    ``counts`` saves a pass when the numbers of usable values are known.
     Returns the counts and, per column, ``{rank: RankedValue}``.
     """
     names = list(ranks)
     values = df.select(*[finite_or_null(F.col(c)).alias(c) for c in names])
-    counts = values.agg(*[F.count(c).alias(c) for c in names]).first().asDict()
+    if counts is None:
+        counts = values.agg(*[F.count(c).alias(c) for c in names]).first().asDict()
     brackets = [
         _Bracket(c, r, 0, counts[c])
         for c in names
@@ -142,26 +145,13 @@ def order_statistics(
     cells = list(open_brackets.values())
     if not cells:
         return counts, result
-    tagged = F.explode(
-        F.array_compact(
-            F.array(
-                *[
-                    F.when(
-                        cell[0].holds(),
-                        F.struct(F.lit(i).alias("cell"), F.col(cell[0].column).alias("value")),
-                    )
-                    for i, cell in enumerate(cells)
-                ]
-            )
-        )
-    )
     wanted = F.array(
         *[F.array(*[F.lit(b.rank - b.below).cast("long") for b in cell]) for cell in cells]
     )
     so_far = Window.partitionBy("cell").orderBy("value")  # at most `few` values a cell
     picked = (
-        values.select(tagged.alias("v"))
-        .groupBy("v.cell", "v.value")
+        _candidates(values, [cell[0] for cell in cells])
+        .groupBy("cell", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
         .withColumn("upto", F.sum("rows").over(so_far))
         .withColumn("rank", F.explode(F.element_at(wanted, F.col("cell") + 1)))
@@ -175,6 +165,19 @@ def order_statistics(
     return counts, result
 
 
+def _candidates(values: DataFrame, brackets: Sequence[_Bracket]) -> DataFrame:
+    """``cell``, ``value`` of the rows inside each bracket."""
+
+    def tagged(i: int, b: _Bracket) -> Column:
+        return F.struct(F.lit(i).alias("cell"), F.col(b.column).alias("value"))
+
+    if len(brackets) == 1:
+        (only,) = brackets
+        return values.where(only.holds()).select(tagged(0, only).alias("v")).select("v.*")
+    inside = [F.when(b.holds(), tagged(i, b)) for i, b in enumerate(brackets)]
+    return values.select(F.inline(F.array_compact(F.array(*inside))))
+
+
 def exact_quantiles(
     df: DataFrame, probabilities: Mapping[str, Sequence[float]], *, few: int = FEW_VALUES
 ) -> dict[str, list[float | None]]:
@@ -244,6 +247,7 @@ def top_cuts(
     sizes: Mapping[str, Callable[[int], Sequence[int]]],
     *,
     where: Mapping[str, Column] | None = None,
+    counts: Mapping[str, int] | None = None,
     few: int = FEW_VALUES,
 ) -> tuple[dict[str, int], dict[str, list[TopCut]]]:
     """Cuts for the ``sizes[name](n)`` best rows of each score, all scores together.
@@ -268,7 +272,7 @@ def top_cuts(
 
         return ranks
 
-    counts, found = order_statistics(work, {s: ranks_for(s) for s in scores}, few=few)
+    counts, found = order_statistics(work, {s: ranks_for(s) for s in scores}, counts=counts, few=few)
     cuts: dict[str, list[TopCut]] = {s: [] for s in scores}
     split_ties: dict[tuple[str, float, int], RankedValue] = {}
     for s in scores:

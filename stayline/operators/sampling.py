@@ -17,10 +17,11 @@ from stayline.functions.hashing import hash_number
 from stayline.operators.quantiles import TopCut, position_among, top_cuts
 
 
-def strata_values(df: DataFrame, stratum: Column) -> list:
-    """Distinct strata; a handful by design (classes, arms)."""
-    rows = df.select(stratum.alias("s")).where("s is not null").distinct().collect()
-    return sorted(row["s"] for row in rows)
+def strata_sizes(df: DataFrame, stratum: Column) -> dict[object, int]:
+    """Rows per stratum; strata are a handful by design (classes, arms)."""
+    sizes = df.groupBy(stratum.alias("s")).agg(F.count(F.lit(1)).alias("rows"))
+    found = {row["s"]: row["rows"] for row in sizes.where("s is not null").collect()}
+    return dict(sorted(found.items()))
 
 
 def _hash_cuts(
@@ -31,15 +32,16 @@ def _hash_cuts(
     sizes: Callable[[int], Sequence[int]],
 ) -> tuple[Column, dict[object, list[TopCut]]]:
     """Cuts of the smallest hashes per stratum (the score is the negated hash)."""
-    score = -hash_number(seed, F.col(key)).cast("double")  # never NULL for a key
-    values = strata_values(df, stratum)
-    names = {f"s{i}": v for i, v in enumerate(values)}
+    score = -hash_number(seed, F.col(key)).cast("double")
+    rows = strata_sizes(df.where(F.col(key).isNotNull()), stratum)
+    names = {f"s{i}": v for i, v in enumerate(rows)}
     _, cuts = top_cuts(
-        df,
+        df.where(F.col(key).isNotNull()),
         {n: score for n in names},
         key,
         {n: sizes for n in names},
         where={n: stratum == F.lit(v) for n, v in names.items()},
+        counts={n: rows[v] for n, v in names.items()},
     )
     return score, {v: cuts[n] for n, v in names.items()}
 

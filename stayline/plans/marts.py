@@ -42,9 +42,8 @@ def charge_band(charge: Column, quartiles: Sequence[float]) -> Column:
     return F.concat(F.lit("Q"), (edge_index(charge.cast("double"), quartiles) + 1).cast("string"))
 
 
-def with_charge_band(customers: DataFrame, charge: str = "monthly_charge") -> DataFrame:
-    quartiles = exact_quantiles(customers, {charge: [0.25, 0.5, 0.75]})[charge]
-    return customers.withColumn("charge_band", charge_band(F.col(charge), quartiles))
+def charge_quartiles(customers: DataFrame, charge: str = "monthly_charge") -> list[float]:
+    return exact_quantiles(customers, {charge: [0.25, 0.5, 0.75]})[charge]
 
 
 def dashboard_cards(

@@ -42,3 +42,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_for_training(df: DataFrame, label: str) -> DataFrame:
+    """``stage``, and once more over all cores if the files would leave cores idle.
+
+    Only data of fewer partitions than cores are written twice; fits read the result
+    many times.
+    """
+    staged = stage(df, label)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if staged.rdd.getNumPartitions() < cores:
+        staged = stage(staged.repartition(cores), label)
+    return staged

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stayline.session import stage
 from stayline.sources.schemas import CAMPAIGN_COLUMNS, CUSTOMER_COLUMNS, text_schema
 
 BROADCAST_SPLITS = 50_000
@@ -51,6 +52,7 @@ def _numbered(df: DataFrame, name: str) -> DataFrame:
         .withColumn("_before", F.coalesce(F.sum("_rows").over(in_file_order), F.lit(0)))
         .drop("_rows")
     )
+    splits = stage(splits, "splits")  # the lines are counted once, without parsing fields
     if splits.count() <= BROADCAST_SPLITS:
         splits = F.broadcast(splits)
     return (

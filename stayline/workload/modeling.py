@@ -11,6 +11,7 @@ from stayline.models import classifiers, prep
 from stayline.operators import metrics
 from stayline.operators.sampling import assign_folds, is_test_row, stratified_split
 from stayline.plans import churn, explain
+from stayline.session import stage_for_training
 from stayline.workload.registry import as_doubles, query, rounded
 from stayline.workload.relational import retention, sparse_retention
 from stayline.workload.views import load_view, oracle
@@ -368,9 +369,14 @@ def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Models
 
 
+def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    train, test = stratified_split(rows, "customer_id", F.col("label"), 0.25, 42)
+    return stage_for_training(train, "train"), test
+
+
 def _holdout_scores(spark: SparkSession, sf_dir: str, build, **settings) -> DataFrame:
     rows = model_rows(spark, sf_dir)
-    train, test = stratified_split(rows, "customer_id", F.col("label"), 0.25, 42)
+    train, test = split(rows)
     model = build(rows, FEATURES, 42, **settings).fit(train)
     return as_doubles(churn.score_customers(model, test), "monthly_charge", "cltv")
 
@@ -406,7 +412,7 @@ def churn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _logistic(spark: SparkSession, sf_dir: str):
     rows = model_rows(spark, sf_dir)
-    train, test = stratified_split(rows, "customer_id", F.col("label"), 0.25, 42)
+    train, test = split(rows)
     return classifiers.build_logistic_model(rows, FEATURES).fit(train), test
 
 
@@ -425,7 +431,7 @@ def shap_local(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("shap_trees")
 def shap_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = model_rows(spark, sf_dir)
-    train, test = stratified_split(rows, "customer_id", F.col("label"), 0.25, 42)
+    train, test = split(rows)
     model = classifiers.build_random_forest_model(rows, FEATURES, 42, **SMALL_FOREST).fit(train)
     return explain.shap_importance(model, test)
 

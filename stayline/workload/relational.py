@@ -557,7 +557,11 @@ BREAKDOWN_SQL = """select '{0}' as dimension, {1} as level, count(*) as customer
 
 def dashboard_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retention rows with every band and segment the dashboard shows."""
-    featured = marts.with_charge_band(add_business_features(retention(spark, sf_dir)))
+    customers = retention(spark, sf_dir)
+    quartiles = marts.charge_quartiles(customers)
+    featured = add_business_features(customers, median_charge=quartiles[1]).withColumn(
+        "charge_band", marts.charge_band(F.col("monthly_charge"), quartiles)
+    )
     payment = F.when(F.col("payment_method") == "AUTOMOBILE", "Electronic check").otherwise(
         F.col("payment_method")
     )
