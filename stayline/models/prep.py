@@ -15,7 +15,7 @@ from pyspark.ml.feature import (
     PCA,
     OneHotEncoder,
     SQLTransformer,
-    StringIndexer,
+    StringIndexerModel,
     VectorAssembler,
     VectorSlicer,
 )
@@ -35,30 +35,71 @@ def feature_roles(df: DataFrame, features: Sequence[str]) -> tuple[list[str], li
     return numeric, [c for c in features if c not in numeric]
 
 
-def numeric_statistics(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float]]:
-    """Per column (median, mean and population deviation after the median fill)."""
+def numeric_statistics(
+    df: DataFrame, columns: Sequence[str]
+) -> dict[str, tuple[float, float, float]]:
+    """Per column (median, mean and population deviation after the median fill).
+
+    The moments of the known values and the number of gaps give those of the filled
+    column, so the fill itself needs no pass.
+    """
     doubles = df.select(*[finite_or_null(F.col(c)).alias(c) for c in columns])
-    medians = {
-        c: (q[0] if q[0] is not None else 0.0)
-        for c, q in exact_quantiles(doubles, {c: [0.5] for c in columns}).items()
-    }
-    filled = [F.coalesce(F.col(c), F.lit(medians[c])) for c in columns]
+    moments = {"n": F.count, "mean": F.avg, "var": F.var_pop}
     row = doubles.agg(
-        *[
-            f
-            for c, v in zip(columns, filled)
-            for f in (F.avg(v).alias(f"{c}:mean"), F.stddev_pop(v).alias(f"{c}:dev"))
-        ]
+        F.count(F.lit(1)).alias("rows"),
+        *[f(c).alias(f"{c}:{m}") for c in columns for m, f in moments.items()],
     ).first()
-    return {c: (medians[c], row[f"{c}:mean"] or 0.0, row[f"{c}:dev"] or 0.0) for c in columns}
+    medians = exact_quantiles(
+        doubles, {c: [0.5] for c in columns}, counts={c: row[f"{c}:n"] for c in columns}
+    )
+    out = {}
+    for c in columns:
+        known, rows = row[f"{c}:n"], row["rows"]
+        if not known:
+            out[c] = (0.0, 0.0, 0.0)
+            continue
+        median, gaps = medians[c][0], rows - known
+        mean = (known * row[f"{c}:mean"] + gaps * median) / rows
+        spread = known * (row[f"{c}:var"] + (row[f"{c}:mean"] - mean) ** 2)
+        out[c] = (median, mean, math.sqrt((spread + gaps * (median - mean) ** 2) / rows))
+    return out
+
+
+def category_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, int]]:
+    """Rows per known value of each text column, values in ascending order.
+
+    One pass. The driver receives one row per category, as any one-hot encoding must.
+    """
+    pairs = [F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns]
+    counted = (
+        df.select(F.inline(F.array(*pairs)))
+        .where("v is not null")
+        .groupBy("c", "v")
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    out: dict[str, dict[str, int]] = {c: {} for c in columns}
+    for row in sorted(counted.collect(), key=lambda r: r["v"]):
+        out[row["c"]][row["v"]] = row["rows"]
+    return out
 
 
-def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
     """Most frequent value per text column; the smallest one among ties."""
-    row = df.agg(
-        *[F.mode(F.col(c).cast("string"), True).alias(c) for c in columns]
-    ).first()
-    return {c: row[c] for c in columns}
+    pairs = [F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns]
+    best = (
+        df.select(F.inline(F.array(*pairs)))
+        .where("v is not null")
+        .groupBy("c", "v")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .groupBy("c")
+        .agg(F.min(F.struct((-F.col("rows")).alias("less"), "v")).alias("first"))
+    )
+    found = {row["c"]: row["first"]["v"] for row in best.collect()}
+    return {c: found.get(c) for c in columns}
+
+
+def _most_frequent(counts: dict[str, int]) -> str | None:
+    return min(counts, key=lambda v: (-counts[v], v), default=None)
 
 
 def _quoted(name: str) -> str:
@@ -123,11 +164,9 @@ class Preprocessor(Estimator):
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         numeric, categorical = feature_roles(dataset, self.features)
         statistics = numeric_statistics(dataset, numeric) if numeric else {}
-        stages: list[Transformer] = [
-            fill_and_scale(
-                statistics, modes(dataset, categorical) if categorical else {}, scale=self.scale
-            )
-        ]
+        categories = category_counts(dataset, categorical) if categorical else {}
+        fills = {c: _most_frequent(counts) for c, counts in categories.items()}
+        stages: list[Transformer] = [fill_and_scale(statistics, fills, scale=self.scale)]
         blocks: list[str] = []
         inputs = [f"_num_{c}" for c in numeric]
         narrow = dataset.select(*self.features)
@@ -147,18 +186,19 @@ class Preprocessor(Estimator):
         if categorical:
             texts = [f"_cat_{c}" for c in categorical]
             indices = [f"_idx_{c}" for c in categorical]
-            indexer = StringIndexer(
-                inputCols=texts,
-                outputCols=indices,
-                handleInvalid="keep",
-                stringOrderType="alphabetAsc",
-            ).fit(stages[0].transform(narrow))
-            stages.append(indexer)
+            indexers = [
+                StringIndexerModel.from_labels(
+                    list(categories[c]) or [""], text, index, handleInvalid="keep"
+                )
+                for c, text, index in zip(categorical, texts, indices)
+            ]
+            stages += indexers
             if self.encode:
                 hot = [f"_hot_{c}" for c in categorical]
                 # Unseen gets the last index, which the encoder drops: all zeros.
                 encoder = OneHotEncoder(inputCols=indices, outputCols=hot, dropLast=True)
-                stages.append(encoder.fit(indexer.transform(stages[0].transform(narrow))))
+                indexed = PipelineModel([stages[0], *indexers]).transform(narrow)
+                stages.append(encoder.fit(indexed))  # reads column metadata, no rows
                 blocks += hot
             else:
                 blocks += indices

@@ -2,8 +2,8 @@
 
 Never an un-partitioned window over data rows. The rows are range-partitioned and
 sorted by the full (unique) order once; the position inside its partition is then
-known without another shuffle. Only one row per partition and group goes through
-the un-partitioned part, so its size does not grow with a group or a tie.
+known without another shuffle. Only one row per part (partition or block) and group
+goes through the un-partitioned step, so its size does not grow with a group or tie.
 
 The order must be unique (end it with a key). That also keeps the partitions even
 when one score holds a large share of the rows: the key splits the tie.
@@ -11,6 +11,8 @@ when one score holds a large share of the rows: the key splits the tie.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -19,18 +21,20 @@ from pyspark.sql import functions as F
 
 from stayline.session import stage
 
-_POSITION_BITS = 33  # monotonically_increasing_id: partition above, row number below
+_ROW_BITS = 33  # monotonically_increasing_id: partition above, row number below
+_BLOCK_BITS = 20  # rows of a running-sum block: about a million
+_MOST_BLOCKS = 500_000  # larger tables get larger blocks
 
 
 def _positioned(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Staged rows with ``_part`` (range partition) and ``_pos`` (place in the sort)."""
+    """Staged rows with ``_pos``: range partition and place in it, in one number."""
     full_order = [F.col(name).asc() for name in by] + list(order)
     placed = (
         df.repartitionByRange(*full_order)
         .sortWithinPartitions(*full_order)
         .withColumn("_pos", F.monotonically_increasing_id())
     )
-    return stage(placed, "order").withColumn("_part", F.shiftright("_pos", _POSITION_BITS))
+    return stage(placed, "order")
 
 
 def _preceding(parts: DataFrame, by: Sequence[str], values: Mapping[str, str]) -> DataFrame:
@@ -48,10 +52,10 @@ def _preceding(parts: DataFrame, by: Sequence[str], values: Mapping[str, str]) -
 
 
 def _attach(rows: DataFrame, parts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join per-partition offsets to the rows.
+    """Join the offsets of the parts to the rows.
 
-    Broadcast is bounded by construction: at most (range partitions + groups) rows,
-    because groups lead the sort order.
+    Broadcast is bounded by construction: because groups lead the sort order there are
+    at most (range partitions + groups) parts, plus ``_MOST_BLOCKS`` for running sums.
     """
     right = parts.select(
         *[F.col(c).alias(f"_by_{c}") for c in by],
@@ -70,7 +74,7 @@ def global_rank(
     df: DataFrame, order: Sequence[Column], *, by: Sequence[str] = (), name: str = "rank"
 ) -> DataFrame:
     """Add the 0-based rank in ``order`` inside each ``by`` group. One range shuffle."""
-    rows = _positioned(df, by, order)
+    rows = _positioned(df, by, order).withColumn("_part", F.shiftright("_pos", _ROW_BITS))
     parts = rows.groupBy(*by, "_part").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_pos").alias("_first")
     )
@@ -92,10 +96,12 @@ def running_totals(
 ) -> DataFrame:
     """Add the 0-based rank and inclusive running sums in ``order`` per ``by`` group.
 
-    The running sum is local to a range partition (evenly sized, whatever the group
-    sizes) and shifted by the total of the earlier partitions.
+    The running sum is local to a block of consecutive rows (about a million, whatever
+    the group sizes) and shifted by the total of the earlier blocks.
     """
     rows = _positioned(df.withColumns({f"_in_{k}": v for k, v in sums.items()}), by, order)
+    bits = max(_BLOCK_BITS, math.ceil(math.log2(rows.count() / _MOST_BLOCKS + 1)))
+    rows = rows.withColumn("_part", F.shiftright("_pos", min(bits, _ROW_BITS)))
     parts = rows.groupBy(*by, "_part").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.min("_pos").alias("_first"),

@@ -20,6 +20,7 @@ from stayline.operators.ordering import global_rank
 
 SKETCH_ACCURACY = 10_000  # rank error of percentile_approx is at most rows / accuracy
 FEW_VALUES = 200_000  # values per wanted rank that are ranked directly
+AT_ONCE = 110  # brackets narrowed in one pass: bounds the sketches a task holds
 
 
 @dataclass(frozen=True)
@@ -64,19 +65,31 @@ def _narrow(df: DataFrame, brackets: Sequence[_Bracket]) -> list[_Bracket]:
     value; otherwise the ends are excluded, so a bracket always shrinks. A bracket
     that misses its rank is retried wider.
     """
-    asked = []
+    cells: dict[tuple, list[int]] = {}
     for i, b in enumerate(brackets):
-        share = (b.rank - b.below) / max(b.inside - 1, 1)
-        pad = b.slack / SKETCH_ACCURACY + b.slack / b.inside
-        probs = [max(0.0, share - pad), min(1.0, share + pad)]
-        asked.append(
+        cells.setdefault((b.column, b.low, b.high), []).append(i)
+    sketches = []
+    for j, members in enumerate(cells.values()):
+        probs = []
+        for i in members:
+            b = brackets[i]
+            share = (b.rank - b.below) / max(b.inside - 1, 1)
+            pad = b.slack / SKETCH_ACCURACY + b.slack / b.inside
+            probs += [max(0.0, share - pad), min(1.0, share + pad)]
+        first = brackets[members[0]]
+        sketches.append(
             F.percentile_approx(
-                F.when(b.holds(), F.col(b.column)),
+                F.when(first.holds(), F.col(first.column)),
                 F.array(*map(F.lit, probs)),
                 F.lit(SKETCH_ACCURACY),
-            ).alias(str(i))
+            ).alias(str(j))
         )
-    ends = df.agg(*asked).first()
+    found = df.agg(*sketches).first()
+    ends = {
+        i: found[j][2 * place : 2 * place + 2]
+        for j, members in enumerate(cells.values())
+        for place, i in enumerate(members)
+    }
     tallies = []
     for i, b in enumerate(brackets):
         c, (low, high) = F.col(b.column), map(F.lit, ends[i])
@@ -132,9 +145,10 @@ def order_statistics(
         if counts[c]
         for r in sorted(set(ranks[c](counts[c])))
     ]
-    while any(not b.settled(few) for b in brackets):
-        narrowed = iter(_narrow(values, [b for b in brackets if not b.settled(few)]))
-        brackets = [b if b.settled(few) else next(narrowed) for b in brackets]
+    while wide := [b for b in brackets if not b.settled(few)]:
+        brackets = [b for b in brackets if b.settled(few)]
+        for start in range(0, len(wide), AT_ONCE):
+            brackets += _narrow(values, wide[start : start + AT_ONCE])
     result: dict[str, dict[int, RankedValue]] = {c: {} for c in names}
     open_brackets: dict[tuple, list[_Bracket]] = {}
     for b in brackets:
@@ -179,7 +193,11 @@ def _candidates(values: DataFrame, brackets: Sequence[_Bracket]) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, probabilities: Mapping[str, Sequence[float]], *, few: int = FEW_VALUES
+    df: DataFrame,
+    probabilities: Mapping[str, Sequence[float]],
+    *,
+    counts: Mapping[str, int] | None = None,
+    few: int = FEW_VALUES,
 ) -> dict[str, list[float | None]]:
     """Continuous quantiles (linear interpolation) per column; NULL for an empty one."""
 
@@ -189,7 +207,7 @@ def exact_quantiles(
         ]
 
     counts, found = order_statistics(
-        df, {c: neighbours(probs) for c, probs in probabilities.items()}, few=few
+        df, {c: neighbours(probs) for c, probs in probabilities.items()}, counts=counts, few=few
     )
     out: dict[str, list[float | None]] = {}
     for c, probs in probabilities.items():

@@ -11,20 +11,25 @@ from pyspark.sql import types as T
 from stayline.session import stage
 from stayline.sources.schemas import CAMPAIGN_COLUMNS, CUSTOMER_COLUMNS, text_schema
 
-BROADCAST_SPLITS = 50_000
+BROADCAST_SPLITS = 500_000
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType, *, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    *,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Positional CSV with a header line; quotes are escaped by doubling.
 
     A row that does not fit the schema fails the job. ``multi_line`` allows line
-    breaks inside quotes, at the price of one task per file.
+    breaks inside quotes, at the price of one task per file. Without a schema names
+    come from the header and types from one extra pass over the file.
     """
+    reader = spark.read.option("inferSchema", True) if schema is None else spark.read.schema(schema)
     return (
-        spark.read.schema(schema)
-        .option("header", True)
+        reader.option("header", True)
         .option("escape", '"')
         .option("encoding", "UTF-8")
         .option("mode", "FAILFAST")

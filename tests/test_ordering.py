@@ -88,3 +88,34 @@ def test_cuts_on_hot_ties_and_text_keys(spark):
     _, cuts = top_cuts(df, {"s": score}, "key", {"s": lambda n: [700, 3000]}, few=50)
     assert cuts["s"][0].last_key == "k01398"
     assert [df.where(c.contains(score, F.col("key"))).count() for c in cuts["s"]] == [700, 3000]
+
+
+def test_many_small_blocks(skewed, monkeypatch):
+    from stayline.operators import ordering
+
+    monkeypatch.setattr(ordering, "_BLOCK_BITS", 6)
+    order = [F.desc("s"), F.asc("id")]
+    w = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    expected = skewed.select("id", F.sum("id").over(w).alias("total_e"))
+    totals = running_totals(skewed, order, {"total": F.col("id")}, by=["g"])
+    assert totals.join(expected, "id").where("total_e <> total").count() == 0
+
+
+def test_many_quantiles_share_a_sketch(skewed):
+    probs = [i / 100 for i in range(101)]
+    found = exact_quantiles(skewed, {"s": probs}, few=30)["s"]
+    assert found == [float(v) for v in np.quantile(skewed.toPandas().s, probs)]
+
+
+def test_staged_tables_can_be_removed(spark):
+    from pathlib import Path
+
+    from stayline import session
+
+    known = session._written.get(spark.sparkContext.applicationId, [])
+    session._written[spark.sparkContext.applicationId] = []
+    path = session.new_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    session.remove_staged(spark)
+    assert not Path(path).exists()
+    session._written[spark.sparkContext.applicationId] = known
