@@ -46,6 +46,7 @@ from stayline.plans.explain import (
     permutation_importance,
     shap_importance,
 )
+from stayline.plans.outputs import campaign_outputs, churn_outputs, customer_outputs
 from stayline.plans.policy import (
     compare_policies,
     expected_customer_value,
@@ -61,7 +62,16 @@ from stayline.plans.uplift import (
     t_learner_uplift,
     uplift_by_decile,
 )
+from stayline.session import remove_staged
+from stayline.sources.files import (
+    publish_table,
+    read_campaign_csv,
+    read_csv,
+    read_customers_csv,
+    write_results,
+)
 from stayline.sources.tables import (
+    JdbcSource,
     AnalysisData,
     load_analysis_data,
     load_campaign,

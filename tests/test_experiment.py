@@ -198,3 +198,20 @@ def test_t_learner_needs_arms_and_outcomes(rows):
     df = rows([(1.0, 0, 0), (2.0, 0, 1), (3.0, 1, 0)], "x double, t int, y int")
     with pytest.raises(ValueError, match="churn outcomes"):
         uplift.t_learner_uplift(df, ["x"])
+
+
+def test_named_outputs_reach_the_folder(spark):
+    from stayline import campaign_outputs, customer_outputs, write_results
+    from stayline.session import new_path
+
+    campaign = load_view(spark, SF, "campaign")
+    analysis = experiment.run_experiment_analysis(campaign, trees=3, max_depth=3)
+    names = campaign_outputs(campaign, analysis)
+    names |= customer_outputs(load_view(spark, SF, "retention"))
+    folder = new_path(spark, "outputs")
+    write_results(names, folder)
+    read = {n: spark.read.option("header", True).csv(f"{folder}/{n}") for n in names}
+    assert read["campaign_policy_results"].count() == 15
+    assert read["uplift_deciles"].count() == 10
+    assert read["customer_segment_summary"].count() == 5
+    assert read["qini_curve"].count() == read["uplift_customer_scores"].count()
