@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,7 +191,8 @@ def _candidates(values: DataFrame, brackets: Sequence[_Bracket]) -> DataFrame:
         (only,) = brackets
         return values.where(only.holds()).select(tagged(0, only).alias("v")).select("v.*")
     inside = [F.when(b.holds(), tagged(i, b)) for i, b in enumerate(brackets)]
-    return values.select(F.inline(F.array_compact(F.array(*inside))))
+    hit = values.where(reduce(or_, [b.holds() for b in brackets]))  # few rows get an array
+    return hit.select(F.inline(F.array_compact(F.array(*inside))))
 
 
 def exact_quantiles(
@@ -315,16 +318,9 @@ def _keys_at(
 ) -> dict[tuple[str, float, int], object]:
     """The ``need``-th smallest key among the rows tied at each (column, value)."""
     edges = sorted({(s, v) for s, v, _ in wanted})
-    ties = work.select(
-        key,
-        F.explode(
-            F.array_compact(
-                F.array(
-                    *[F.when(F.col(s) == F.lit(v), F.lit(i)) for i, (s, v) in enumerate(edges)]
-                )
-            )
-        ).alias("edge"),
-    )
+    on_edge = [F.col(s) == F.lit(v) for s, v in edges]
+    met = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(on_edge)]))
+    ties = work.where(reduce(or_, on_edge)).select(key, F.explode(met).alias("edge"))
     if max(at.tied for at in wanted.values()) <= few:
         in_key_order = Window.partitionBy("edge").orderBy(key)  # at most `few` rows a group
         ranked = ties.withColumn("rank", F.row_number().over(in_key_order) - 1)

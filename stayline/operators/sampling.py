@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from stayline.functions.hashing import hash_number
 from stayline.operators.quantiles import TopCut, position_among, top_cuts
 
+SMALL_SAMPLE = 10_000
+
 
 def strata_sizes(df: DataFrame, stratum: Column) -> dict[object, int]:
     """Rows per stratum; strata are a handful by design (classes, arms)."""
@@ -89,7 +91,14 @@ def assign_folds(
 
 
 def hash_sample(df: DataFrame, key: str, rows: int, seed: int | str = 42) -> DataFrame:
-    """At most ``rows`` rows, the same ones under any layout."""
+    """At most ``rows`` rows, the same ones under any layout.
+
+    A small sample is a top-k; a large one is a predicate, so it never meets in one task.
+    """
+    if rows > SMALL_SAMPLE:
+        score = -hash_number(seed, F.col(key)).cast("double")
+        _, cuts = top_cuts(df, {"h": score}, key, {"h": lambda n: [rows]})
+        return df.where(cuts["h"][0].contains(score, F.col(key)))
     return (
         df.withColumn("_hash", hash_number(seed, F.col(key)))
         .orderBy("_hash", key)

@@ -262,13 +262,11 @@ def business_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"""select customer_id, tenure_in_months, cast(monthly_charge as double) as monthly_charge,
         contract, premium_tech_support, payment_method, internet_type, cast(cltv as double) as cltv,
         {_band_sql('tenure_in_months', 'null')} as tenure_band, cast(churn_value as double) as label
-        from retention where customer_id % 7 <> 0""",
+        from retention""",
     ),
 )
 def model_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = F.when(F.col("customer_id") % 7 != 0, F.col("churn_value"))
-    featured = add_business_features(retention(spark, sf_dir).withColumn("churn_value", known))
-    usable, features = prepare_churn_xy(featured)
+    usable, features = prepare_churn_xy(add_business_features(retention(spark, sf_dir)))
     return as_doubles(usable.select("customer_id", *features, "label"), "monthly_charge", "cltv")
 
 

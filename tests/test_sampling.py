@@ -45,3 +45,12 @@ def test_sample_is_the_same_under_any_layout(spark):
     a = hash_sample(frame(spark, 3), "id", 50)
     b = hash_sample(frame(spark, 8), "id", 50)
     assert {r["id"] for r in a.collect()} == {r["id"] for r in b.collect()} and a.count() == 50
+
+
+def test_large_sample_is_the_same_set(spark, monkeypatch):
+    from stayline.operators import sampling
+
+    small = {r["id"] for r in hash_sample(frame(spark, 3), "id", 50).collect()}
+    monkeypatch.setattr(sampling, "SMALL_SAMPLE", 10)
+    assert {r["id"] for r in hash_sample(frame(spark, 5), "id", 50).collect()} == small
+    assert hash_sample(frame(spark, 5), "id", 5000).count() == 3001
