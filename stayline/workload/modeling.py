@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -352,18 +353,85 @@ def onehot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("prep_pipeline")
+FILLED_SQL = f"""sparse as (
+  select customer_id, cast({SPARSE_SQL} as double) as tenure,
+    cast(monthly_charge as double) as charge, cast(cltv as double) as value,
+    contract, premium_tech_support, payment_method, internet_type from retention),
+filled as (
+  select * replace (coalesce(tenure, (select quantile_cont(tenure, 0.5) from sparse)) as tenure,
+    coalesce(premium_tech_support, (select premium_tech_support from sparse
+      where premium_tech_support is not null group by all
+      order by count(*) desc, 1 limit 1)) as premium_tech_support,
+    coalesce(internet_type, (select internet_type from sparse where internet_type is not null
+      group by all order by count(*) desc, 1 limit 1)) as internet_type) from sparse)"""
+
+
+@query(
+    "prep_pipeline",
+    oracle(
+        "retention",
+        " union all ".join(
+            [
+                f"""select customer_id, '{name}' as feature, round(({c} - avg({c}) over ())
+                  / stddev_pop({c}) over (), 6) as value from filled"""
+                for name, c in zip(NUMERIC, ("tenure", "charge", "value"))
+            ]
+            + [
+                f"""select customer_id, '{c}_' || known as feature,
+                  cast({c} = known as int)::double as value
+                  from filled, (select distinct {c} as known from filled)"""
+                for c in CATEGORICAL
+            ]
+        ),
+        FILLED_SQL,
+    ),
+)
 def prep_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every element of every prepared vector."""
     rows = model_rows(spark, sf_dir)
     vectors = prep.build_preprocessor(rows, FEATURES).fit(rows).transform(rows)
-    return vectors.select("customer_id", churn.vector_to_array("features").alias("features"))
+    names = F.array(*[F.lit(n) for n in prep.feature_names(vectors)])
+    elements = F.posexplode(churn.vector_to_array("features")).alias("i", "value")
+    return vectors.select("customer_id", elements).select(
+        "customer_id",
+        F.element_at(names, F.col("i") + 1).alias("feature"),
+        F.round("value", 6).alias("value"),
+    )
+
 
+# Eigenvalues of a 3 x 3 correlation matrix in closed form.
+EIGEN_SQL = (
+    FILLED_SQL
+    + """,
+correlations as (
+  select corr(tenure, charge) as a, corr(tenure, value) as b, corr(charge, value) as c from filled),
+scaled as (select *, sqrt((a * a + b * b + c * c) / 3) as p from correlations),
+angles as (select p, acos(a * b * c / (p * p * p)) / 3 as phi from scaled),
+roots as (
+  select (1 + 2 * p * cos(phi)) / 3 as first, (1 + 2 * p * cos(phi + 2 * pi() / 3)) / 3 as third
+  from angles),
+shares as (
+  select 1 as component, first as share, first as upto from roots
+  union all select 2, 1 - first - third, 1 - third from roots
+  union all select 3, third, 1.0 from roots)"""
+)
 
-@query("pca_variance")
+
+@query(
+    "pca_variance",
+    oracle(
+        "retention",
+        """select component, round(share, 7) as variance_share, round(upto, 7) as cumulative_share,
+        upto - share <= 0.95 as kept from shares""",
+        EIGEN_SQL,
+    ),
+)
 def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = model_rows(spark, sf_dir)
     fitted = prep.build_preprocessor(rows, FEATURES, use_pca=True).fit(rows)
-    return prep.variance_table(fitted, rows)
+    return rounded(
+        prep.variance_table(fitted, rows), {"variance_share": 7, "cumulative_share": 7}
+    )
 
 
 # Models
@@ -416,8 +484,64 @@ def _logistic(spark: SparkSession, sf_dir: str):
     return classifiers.build_logistic_model(rows, FEATURES).fit(train), test
 
 
-@query("permutation_importance")
+RULE_SQL = """cast(300 + case when contract = 'Month-to-Month' then 220 else 0 end
+    + case when tenure_in_months <= 12 then 250 else 0 end
+    - case when premium_tech_support = 'Yes' then 50 else 0 end - 3 * tenure_in_months as double)
+    / cast(1200 as double)"""
+RULE_FEATURES = ["tenure_in_months", "contract", "premium_tech_support"]
+SHUFFLE_SQL = f"""rounds as (
+  select i as repeat, r.*, row_number() over (partition by i
+    order by substr(md5('42:shuffle:' || i || ':' || customer_id), 1, 13), customer_id) as place
+  from retention r, range(3) g(i)),
+pairs as (
+  select o.repeat, own.churn_value as y,
+    {", ".join(f"own.{c} as {c}, o.{c} as other_{c}" for c in RULE_FEATURES)}
+  from rounds own join rounds o on own.place = o.place and own.repeat = 0 and o.repeat > 0),
+swapped as ("""
+SHUFFLE_SQL += " union all ".join(
+    f"""select '{f}' as feature, repeat, y, """
+    + ", ".join(f"other_{c} as {c}" if c == f else c for c in RULE_FEATURES)
+    + " from pairs"
+    for f in RULE_FEATURES
+)
+SHUFFLE_SQL += f"""
+  union all select 'none', 0, churn_value, {", ".join(RULE_FEATURES)} from retention),
+per_score as (
+  select feature, repeat, {RULE_SQL} as p, sum(y) as pos, count(*) as n from swapped group by all),
+curve as (
+  select *, sum(pos) over w as tp, sum(n) over w as taken from per_score
+  window w as (partition by feature, repeat order by p desc)),
+precisions as (
+  select feature, repeat, sum(cast(pos as double) * tp / taken) / sum(pos) as ap
+  from curve group by feature, repeat)"""
+
+
+@query(
+    "permutation_importance",
+    oracle(
+        "retention",
+        """select feature, round((select ap from precisions where feature = 'none') - avg(ap), 7)
+          as permutation_importance from precisions where feature <> 'none' group by feature""",
+        SHUFFLE_SQL,
+    ),
+)
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written-down scoring rule in the place of the fitted model."""
+    rule = PipelineModel(
+        [
+            SQLTransformer(statement=f"select *, {RULE_SQL} as _p from __THIS__"),
+            SQLTransformer(statement="select *, 1 - _p as _q from __THIS__"),
+            VectorAssembler(inputCols=["_q", "_p"], outputCol="probability"),
+        ]
+    )
+    found = explain.permutation_importance(
+        rule, retention(spark, sf_dir), RULE_FEATURES, label="churn_value", repeats=2
+    )
+    return rounded(found, {"permutation_importance": 7})
+
+
+@query("permutation_importance_logistic")
+def permutation_importance_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, test = _logistic(spark, sf_dir)
     return explain.permutation_importance(model, test, FEATURES, repeats=2)
 
