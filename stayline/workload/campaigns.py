@@ -290,7 +290,7 @@ RANKED_SQL = """ranked as (
     oracle(
         "campaign_scored",
         """select uplift_decile, count(*) as customers,
-        round(avg(predicted_uplift), 6) as mean_predicted_uplift,
+        round(avg(predicted_uplift), 9) as mean_predicted_uplift,
         round(avg(y) filter (where t = 0), 6) as control_churn_rate,
         round(avg(y) filter (where t = 1), 6) as treated_churn_rate,
         round(avg(y) filter (where t = 0) - avg(y) filter (where t = 1), 6)
@@ -305,7 +305,7 @@ def uplift_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
         deciles,
         {
-            "mean_predicted_uplift": 6,
+            "mean_predicted_uplift": 9,
             "control_churn_rate": 6,
             "treated_churn_rate": 6,
             "observed_churn_reduction": 6,
