@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stayline.llm import quality
-from stayline.session import stage
+from stayline.llm import licenses, mixing, quality, secrets, warc
+from stayline.session import new_path, stage
 from stayline.workload.registry import query
 
 
@@ -18,3 +19,38 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = stage(quality.document_statistics(table(spark, sf_dir, "documents")), "statistics")
     model = quality.fit_quality(stats, table(spark, sf_dir, "labels"))
     return quality.score_quality(stats, model)
+
+
+@query("op2_secret_scans")
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = stage(secrets.find_places(docs).drop("text"), "secrets")
+    return secrets.digest(found, secrets.rejected_from(found))
+
+
+@query("op3_license_scans")
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["base"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(base["first_word"]).alias("first_word"),
+        F.array_max(base["first_word"]).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base["label"])), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query("op9_warc")
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(warc.resolve_revisits(table(spark, sf_dir, "pages")), path)
+    return warc.read_archives(spark, path, payloads=False).drop("target_uri", "payload")
