@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import licenses, mixing, quality, secrets, warc
+from stayline.llm import html, licenses, mixing, neighbours, quality, secrets, warc
 from stayline.session import new_path, stage
 from stayline.workload.registry import query
 
@@ -54,3 +54,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(warc.resolve_revisits(table(spark, sf_dir, "pages")), path)
     return warc.read_archives(spark, path, payloads=False).drop("target_uri", "payload")
+
+
+@query("op6_nearest_neighbours")
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op7_html_extraction")
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
