@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import html, licenses, mixing, neighbours, quality, secrets, warc
+from stayline.llm import html, jaccard, licenses, mixing, neighbours, quality, secrets, warc
 from stayline.session import new_path, stage
 from stayline.workload.registry import query
 
@@ -65,3 +65,8 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op4_ngram_jaccard_join")
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
