@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import html, jaccard, licenses, mixing, neighbours, quality, scoring, secrets, warc
+from stayline.llm import html, jaccard, licenses, mixing, neighbours, pieces, quality, scoring, secrets, warc
 from stayline.session import new_path, stage
 from stayline.workload.registry import query
 
@@ -75,3 +75,8 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_lm_scoring")
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))

@@ -27,12 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.llm.elias_fano import Trie, write_trie
+from stayline.llm.packing import pack, pack_ranks, unpack, unpack_ranks
 from stayline.llm.words import hash_words
 from stayline.session import stage
 
@@ -59,14 +59,6 @@ def _shard(x: np.ndarray, shards: int) -> np.ndarray:
     return ((x >> _HALF) * np.uint64(shards)) >> _HALF
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
-
-
-def _unpack(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
-
-
 def quantised(p: np.ndarray) -> np.ndarray:
     """Codes 1 .. 255 of probabilities in (0, 1]; code 0 is left for what is unknown."""
     return np.clip(np.rint(-np.log10(p) * _STEPS) + 1, 1, 255).astype(np.uint8)
@@ -84,24 +76,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def make_blocks(docs: DataFrame, held: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents in blocks: their ids, lengths and split, the block's distinct words, and each
-    token as a number among them."""
+    """Documents in blocks: their ids, lengths and split, the block's distinct words, most
+    frequent first, and each token as a number among them."""
     names = ["block", "doc_ids", "held", "lengths", "words", "counts", "tokens", "n_tokens", "n_train", "train_docs"]
 
     def block(number: int, rows: list[tuple]) -> pa.RecordBatch:
         hashes = [np.append(hash_words((text or b"").lower().split()), _END) for _, text, _ in rows]
         lengths = np.array([len(h) for h in hashes], np.int32)
-        words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+        words, tokens, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        by_rank = np.argsort(-often, kind="stable")  # small numbers for frequent words pack better
+        rank = np.empty(len(words), np.uint32)
+        rank[by_rank] = np.arange(len(words), dtype=np.uint32)
         train = np.array([not h for _, _, h in rows])
         counts = np.bincount(tokens[np.repeat(train, lengths)], minlength=len(words))
         values = [
             number,
             [r[0] for r in rows],
             [r[2] for r in rows],
-            _pack(lengths),
-            words.tobytes(),
-            _pack(counts.astype(np.uint32)),
-            _pack(tokens.astype(np.uint32)),
+            pack(lengths),
+            words[by_rank].tobytes(),
+            pack(counts[by_rank].astype(np.uint32)),
+            pack_ranks(rank[tokens]),
             len(tokens),
             int(counts.sum()),
             int(train.sum()),
@@ -161,8 +156,8 @@ class Grams:
 def _orders(row, order: int, shards: int, hot: list[np.ndarray]) -> Iterator[Grams]:
     """The n-grams of orders 2, 3 .. of a block, each token's history cut at its text's start."""
     words = np.frombuffer(row["words"], np.uint64)
-    tokens = _unpack(row["tokens"], np.uint32)
-    lengths = _unpack(row["lengths"], np.int32)
+    tokens = unpack_ranks(row["tokens"])
+    lengths = unpack(row["lengths"], np.int32)
     hashes = words[tokens]
     follower = _mixed(hashes ^ np.uint64(0xD6E8FEB86659FD93))
     starts = np.r_[0, np.cumsum(lengths)[:-1]]
@@ -178,7 +173,7 @@ def _orders(row, order: int, shards: int, hot: list[np.ndarray]) -> Iterator[Gra
 def _lists(block: int, parts: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
     edges = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1], True])
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(parts[a]), block, keys[a:b].tobytes(), _pack(counts[a:b].astype(np.uint32))
+        yield int(parts[a]), block, keys[a:b].tobytes(), pack(counts[a:b].astype(np.uint32))
 
 
 _LIST = "part int, block long, keys binary, counts binary"
@@ -194,8 +189,10 @@ def word_lists(blocks: DataFrame, shards: int) -> DataFrame:
         for frame in frames:
             for row in frame.to_dict("records"):
                 words = np.frombuffer(row["words"], np.uint64)
+                order = np.argsort(words)
+                words, counts = words[order], unpack(row["counts"], np.uint32)[order]
                 parts = _shard(words, shards).astype(np.int64)
-                yield _list_frame(list(_lists(row["block"], parts, words, _unpack(row["counts"], np.uint32))))
+                yield _list_frame(list(_lists(row["block"], parts, words, counts)))
 
     return blocks.select("block", "words", "counts").mapInPandas(run, _LIST)
 
@@ -205,7 +202,7 @@ def gram_lists(blocks: DataFrame, level: int, shards: int, hot: list[np.ndarray]
         for frame in frames:
             for row in frame.to_dict("records"):
                 *_, grams = _orders(row, level, shards, hot)
-                train = np.repeat(~np.array(row["held"], bool), _unpack(row["lengths"], np.int32))
+                train = np.repeat(~np.array(row["held"], bool), unpack(row["lengths"], np.int32))
                 counts = np.bincount(grams.index[train], minlength=len(grams.keys))
                 yield _list_frame(list(_lists(row["block"], grams.parts, grams.keys, counts)))
 
@@ -216,14 +213,14 @@ def _summed(lists: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, li
     """Distinct keys of a shard, their counts, and where each block's keys are among them."""
     keys = [np.frombuffer(k, np.uint64) for k in lists["keys"]]
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.concatenate([_unpack(c, np.uint32) for c in lists["counts"]])
+    counts = np.concatenate([unpack(c, np.uint32) for c in lists["counts"]])
     return distinct, np.bincount(place, counts, len(distinct)).astype(np.int64), place, np.cumsum([0, *map(len, keys)]).tolist()
 
 
 def _answers(lists: pd.DataFrame, level: int, place, edges, *values) -> list[tuple]:
     part = int(lists["part"].iloc[0])
     return [
-        (block, level, part, *(_pack(v[place[a:b]]) for v in values), 0, 0, [])
+        (block, level, part, *(pack(v[place[a:b]]) for v in values), 0, 0, [])
         for block, a, b in zip(lists["block"], edges[:-1], edges[1:], strict=True)
     ]
 
@@ -347,15 +344,18 @@ def score_texts(
         row = blocks.to_dict("records")[0]
         answers = answers.sort_values(["level", "part"])
         levels = {k: g for k, g in answers.groupby("level")}
-        tokens = _unpack(row["tokens"], np.uint32)
-        lengths = _unpack(row["lengths"], np.int32)
-        seen = np.concatenate([_unpack(x, np.int64) for x in levels[1]["first"]])[tokens]
+        tokens = unpack_ranks(row["tokens"])
+        lengths = unpack(row["lengths"], np.int32)
+        words = np.frombuffer(row["words"], np.uint64)
+        counts = np.empty(len(words), np.int64)
+        counts[np.argsort(words)] = np.concatenate([unpack(x, np.int64) for x in levels[1]["first"]])
+        seen = counts[tokens]
         p = (seen + 1) / (train + distinct + 1)
         text = np.repeat(np.arange(len(lengths)), lengths)
         base = np.bincount(text, np.log10(p), len(lengths))
         for level, grams in enumerate(_orders(row, order, shards, hot), 2):
-            codes = np.concatenate([_unpack(x, np.uint8) for x in levels[level]["first"]])[grams.index]
-            weights = np.concatenate([_unpack(x, np.uint8) for x in levels[level]["second"]])[grams.index]
+            codes = np.concatenate([unpack(x, np.uint8) for x in levels[level]["first"]])[grams.index]
+            weights = np.concatenate([unpack(x, np.uint8) for x in levels[level]["second"]])[grams.index]
             weight = restored(weights, 1.0)
             weight[grams.is_hot] = hot_weights[level - 2][grams.hot_place[grams.is_hot]]
             p = restored(codes, 0.0) + weight * p
