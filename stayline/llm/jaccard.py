@@ -273,3 +273,11 @@ def near_duplicates(
     return known.join(by_text, "key", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+
+
+def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that give their class its name, a repeated row once; rows without
+    doc_id stay. ``classes`` is what ``near_duplicates`` found."""
+    first = classes.where("doc_id = class_id").select("doc_id").distinct()
+    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))

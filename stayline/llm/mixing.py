@@ -88,13 +88,17 @@ def permuted(index: Column, size: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(_ROUNDS - 1)), index, swapped)
 
 
-def _sized(docs: DataFrame, seed: int, *keep: str) -> DataFrame:
+def _key(seed: int) -> Column:
+    """Order of the documents in their source; rows of equal doc_id and text share it."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select(
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("shuffled"),
-        *keep,
+        _key(seed).alias("shuffled"),
     )
 
 
@@ -111,7 +115,7 @@ def make_plan(sized: DataFrame, block_words: int) -> Plan:
     return Plan([r.source for r in sums], size, target, blocks, slots)
 
 
-def place(sized: DataFrame, plan: Plan, bucket_rows: int = 20_000) -> DataFrame:
+def place(sized: DataFrame, plan: Plan, bucket_rows: int = 2_000) -> DataFrame:
     """Adds ``at`` (the source's number), source_size, target, and the document's place in its
     source's words: ``start``, ``end`` and the unique ``row`` of its ``bucket``.
 
@@ -142,7 +146,7 @@ def place(sized: DataFrame, plan: Plan, bucket_rows: int = 20_000) -> DataFrame:
         .join(offsets, ["at", "bucket"])
         .withColumn("end", F.col("end") + F.col("offset"))
         .withColumn("start", F.col("end") - F.col("size"))
-        .drop("offset", "shuffled")
+        .drop("offset")
     )
 
 
@@ -198,3 +202,40 @@ def mix(docs: DataFrame, block_words: int = 128, shard_slots: int = 65_536, seed
         .agg(F.coalesce(F.sum((F.col("to_word") - F.col("from_word")) * F.col("uses")), F.lit(0)).alias("taken"))
         .select("doc_id", "source", "size", "source_size", "target", "taken")
     )
+
+
+def mixed_documents(docs: DataFrame, block_words: int = 128, shard_slots: int = 65_536, seed: int = 11) -> DataFrame:
+    """The mix as documents with the columns of ``docs``: a row for each document and each pass
+    over its source that takes something of it.
+
+    A document that a pass takes whole keeps its text as it is; otherwise its text is the words
+    taken, joined by spaces. n_chars, if there, follows the text.
+    """
+    names = docs.columns
+    sized = stage(_sized(docs, seed), "sizes")
+    plan = make_plan(sized, block_words)
+    uses = slot_blocks(docs.sparkSession, plan, shard_slots, seed).select("at", "block", "turn")
+    taken = (
+        pieces(place(sized, plan), block_words)
+        .join(uses, ["at", "block"])
+        .groupBy(F.col("doc_id").alias("__id"), F.col("shuffled").alias("__key"), "at", "bucket", "row", "size", "turn")
+        .agg(
+            F.sum(F.col("to_word") - F.col("from_word")).alias("__taken"),
+            F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("__spans"),
+        )
+        .select("__id", "__key", F.col("size").alias("__size"), "__taken", "__spans")
+    )
+    texts = docs.withColumn("__key", _key(seed)).dropDuplicates(["doc_id", "__key"])
+    joined = texts.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (texts["__key"] == taken["__key"]))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    cut = F.transform(
+        "__spans",
+        lambda s: F.slice(F.col("__words"), (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int")),
+    )
+    partly = F.col("__taken") < F.col("__size")
+    result = joined.withColumn("__words", F.when(partly, words)).withColumn(
+        "text", F.when(partly, F.array_join(F.flatten(cut), " ")).otherwise(F.col("text"))
+    )
+    if "n_chars" in names:
+        result = result.withColumn("n_chars", F.when(partly, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return result.select(*names)
