@@ -25,6 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_PASSES = 3
 MOST_SOURCES = 100_000
 _ROUNDS = 24
+_TASK_SLOTS = 100_000
 
 
 @dataclass(frozen=True)
@@ -154,12 +155,15 @@ def slot_blocks(spark, plan: Plan, shard_slots: int, seed: int) -> DataFrame:
     """Every slot of the mix: shard, at, slot, turn (pass over the source) and block."""
     drawn = draw_shards(plan.slots, shard_slots, seed)
     first = np.cumsum(drawn, axis=0) - drawn
-    runs = [
-        (j, i, int(first[j, i]), int(drawn[j, i]), int(plan.blocks[i]))
-        for j, i in zip(*np.nonzero(drawn), strict=True)
-    ]
-    cells = spark.createDataFrame([(int(a), int(b), *r) for a, b, *r in runs], "shard int, at int, first long, n long, blocks long")
-    slots = cells.repartition("shard", "at").select(
+    cells = spark.createDataFrame(
+        [
+            (int(j), int(i), int(first[j, i]), int(drawn[j, i]), int(plan.blocks[i]))
+            for j, i in zip(*np.nonzero(drawn), strict=True)
+        ],
+        "shard int, at int, first long, n long, blocks long",
+    )
+    tasks = max(spark.sparkContext.defaultParallelism, -(-int(plan.slots.sum()) // _TASK_SLOTS))
+    slots = cells.repartition(tasks, "shard", "at").select(
         "shard", "at", "blocks", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot")
     )
     turn = F.expr("slot div blocks").alias("turn")
@@ -193,6 +197,7 @@ def mix(docs: DataFrame, block_words: int = 128, shard_slots: int = 65_536, seed
         slot_blocks(spark, plan, shard_slots, seed)
         .groupBy("at", "block")
         .agg(F.count(F.lit(1)).alias("uses"))
+        .hint("merge")  # slots grow out of a few rows, by which Spark would take them for small
     )
     row = ["doc_id", "source", "size", "source_size", "target", "at", "bucket", "row"]
     return (
@@ -214,7 +219,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 128, shard_slots: int =
     names = docs.columns
     sized = stage(_sized(docs, seed), "sizes")
     plan = make_plan(sized, block_words)
-    uses = slot_blocks(docs.sparkSession, plan, shard_slots, seed).select("at", "block", "turn")
+    uses = slot_blocks(docs.sparkSession, plan, shard_slots, seed).select("at", "block", "turn").hint("merge")
     taken = (
         pieces(place(sized, plan), block_words)
         .join(uses, ["at", "block"])
@@ -224,6 +229,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 128, shard_slots: int =
             F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("__spans"),
         )
         .select("__id", "__key", F.col("size").alias("__size"), "__taken", "__spans")
+        .hint("merge")
     )
     texts = docs.withColumn("__key", _key(seed)).dropDuplicates(["doc_id", "__key"])
     joined = texts.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (texts["__key"] == taken["__key"]))
