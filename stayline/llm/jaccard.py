@@ -186,7 +186,8 @@ def verified(docs: DataFrame, candidates: DataFrame, n: int, threshold: float) -
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
     with_sets = (
-        placed.join(texts, "rep")
+        placed.hint("merge")  # candidates grow with the texts; no size of theirs is small for good
+        .join(texts, "rep")
         .mapInArrow(sets, "rep long, key binary, copies long, root long, chunks int, chunk int, bin long, grams binary")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .withColumn("a", F.least("chunk", "other"))
