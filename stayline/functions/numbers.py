@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -39,4 +40,5 @@ def with_step(df: DataFrame, column: str, edges: Sequence[float], name: str) ->
 @F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal tail probability; applied to aggregated rows only."""
-    return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2.0)))
+    tail = np.frompyfunc(math.erfc, 1, 1)(np.abs(z.to_numpy(float)) / math.sqrt(2.0))
+    return pd.Series(tail.astype(float))

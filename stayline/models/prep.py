@@ -65,10 +65,14 @@ def numeric_statistics(
     return out
 
 
+MOST_CATEGORIES = 100_000  # per column on average; bounds what comes to the driver
+
+
 def category_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, int]]:
     """Rows per known value of each text column, values in ascending order.
 
-    One pass. The driver receives one row per category, as any one-hot encoding must.
+    One pass. The driver receives one row per category, as any one-hot encoding must; a
+    column with more than MOST_CATEGORIES is refused.
     """
     pairs = [F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns]
     counted = (
@@ -78,7 +82,10 @@ def category_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     out: dict[str, dict[str, int]] = {c: {} for c in columns}
-    for row in sorted(counted.collect(), key=lambda r: r["v"]):
+    found = counted.limit(MOST_CATEGORIES * max(1, len(columns)) + 1).collect()
+    if len(found) > MOST_CATEGORIES * max(1, len(columns)):
+        raise ValueError(f"More than {MOST_CATEGORIES} categories per column in {list(columns)}: band or drop them")
+    for row in sorted(found, key=lambda r: r["v"]):
         out[row["c"]][row["v"]] = row["rows"]
     return out
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from stayline.functions.numbers import finite_or_null
 from stayline.functions.text import blank_to_null
+from stayline.session import stage
 from stayline.sources.schemas import CAMPAIGN_TYPES, CUSTOMER_TYPES
 
 
@@ -142,7 +143,9 @@ def constraint_report(
 def enforce_constraints(
     df: DataFrame, key: str, *, binary: Sequence[str] = (), not_null: Sequence[str] = ()
 ) -> DataFrame:
-    """Return ``df`` unchanged or raise ValueError naming the broken rules."""
+    """Write ``df`` once, check what was written, and return a reader of it; ValueError
+    names the broken rules. So what is published later is what was checked."""
+    df = stage(df, "checked")
     report = constraint_report(df, key, binary=binary, not_null=not_null)
     broken = {r["rule"]: r["violations"] for r in report.where("violations > 0").collect()}
     if broken:

@@ -12,8 +12,10 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import accumulate
 from operator import or_
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from stayline.functions.numbers import finite_or_null
 from stayline.operators.ordering import global_rank
 
 SKETCH_ACCURACY = 10_000  # rank error of percentile_approx is at most rows / accuracy
-FEW_VALUES = 200_000  # values per wanted rank that are ranked directly
+FEW_VALUES = 500  # values left in a bracket that are ranked at last; tables of any size narrow to it
 AT_ONCE = 110  # brackets narrowed in one pass: bounds the sketches a task holds
 
 
@@ -92,38 +94,59 @@ def _narrow(df: DataFrame, brackets: Sequence[_Bracket]) -> list[_Bracket]:
         for j, members in enumerate(cells.values())
         for place, i in enumerate(members)
     }
-    tallies = []
-    for i, b in enumerate(brackets):
-        c, (low, high) = F.col(b.column), map(F.lit, ends[i])
-        tallies += [
-            F.count_if(c < low).alias(f"under_{i}"),
-            F.count_if(c == low).alias(f"low_{i}"),
-            F.count_if((c > low) & (c < high)).alias(f"inside_{i}"),
-            F.count_if((c == high) & (c > low)).alias(f"high_{i}"),
-        ]
-    counted = df.agg(*tallies).first()
+    under = _rows_below(df, {(b.column, end) for i, b in enumerate(brackets) for end in ends[i]})
     out = []
     for i, b in enumerate(brackets):
         low, high = ends[i]
-        under = counted[f"under_{i}"]
-        above_low = under + counted[f"low_{i}"]
-        at_high = above_low + counted[f"inside_{i}"]
-        past = at_high + counted[f"high_{i}"]
-        if not under <= b.rank < past:
+        below_low, above_low = under[b.column, low]
+        at_high, past = under[b.column, high]
+        if not below_low <= b.rank < past:
             out.append(replace(b, slack=b.slack * 4))
         elif b.rank < above_low:
-            out.append(replace(b, found=RankedValue(low, under, counted[f"low_{i}"])))
+            out.append(replace(b, found=RankedValue(low, below_low, above_low - below_low)))
         elif b.rank >= at_high:
-            out.append(replace(b, found=RankedValue(high, at_high, counted[f"high_{i}"])))
+            out.append(replace(b, found=RankedValue(high, at_high, past - at_high)))
         else:
             out.append(
-                replace(
-                    b, below=above_low, inside=counted[f"inside_{i}"], low=low, high=high, slack=2
-                )
+                replace(b, below=above_low, inside=at_high - above_low, low=low, high=high, slack=2)
             )
     return out
 
 
+def _rows_below(
+    df: DataFrame, edges: set[tuple[str, float]]
+) -> dict[tuple[str, float], tuple[int, int]]:
+    """For each (column, edge): how many values lie under the edge, and not above it.
+
+    Every value is looked up once among its column's edges, each of which is a cell of its
+    own; the cells' counts come back, at most two for each edge and one more.
+    """
+    by_column: dict[str, list[float]] = {}
+    for c, edge in edges:
+        by_column.setdefault(c, []).append(edge)
+    splits = {
+        c: [-math.inf, *sorted({x for e in found for x in (e, math.nextafter(e, math.inf))}), math.inf]
+        for c, found in by_column.items()
+    }
+    names = list(splits)
+    cells = [f"cell_{i}" for i in range(len(names))]
+    placed = Bucketizer(
+        inputCols=names, outputCols=cells, splitsArray=[splits[c] for c in names], handleInvalid="keep"
+    ).transform(df.select(*names))
+    pairs = [F.struct(F.lit(i).alias("i"), F.col(c).cast("int").alias("cell")) for i, c in enumerate(cells)]
+    counted = (
+        placed.select(F.inline(F.array(*pairs))).where("cell is not null").groupBy("i", "cell").count().collect()
+    )
+    rows = {(names[r["i"]], r["cell"]): r["count"] for r in counted}
+    out = {}
+    for c, points in splits.items():
+        below = list(accumulate((rows.get((c, k), 0) for k in range(len(points) - 1)), initial=0))
+        place = {x: k for k, x in enumerate(points)}
+        for edge in by_column[c]:
+            out[c, edge] = below[place[edge]], below[place[edge] + 1]
+    return out
+
+
 def order_statistics(
     df: DataFrame,
     ranks: Mapping[str, Callable[[int], Sequence[int]]],
@@ -138,7 +161,8 @@ def order_statistics(
     Returns the counts and, per column, ``{rank: RankedValue}``.
     """
     names = list(ranks)
-    values = df.select(*[finite_or_null(F.col(c)).alias(c) for c in names])
+    # adding zero makes one value of both signed zeros
+    values = df.select(*[(finite_or_null(F.col(c)) + F.lit(0.0)).alias(c) for c in names])
     if counts is None:
         counts = values.agg(*[F.count(c).alias(c) for c in names]).first().asDict()
     brackets = [

@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 from stayline.functions.hashing import hash_number
 from stayline.operators.quantiles import TopCut, position_among, top_cuts
 
-SMALL_SAMPLE = 10_000
+
+def require_keys(df: DataFrame, key: str) -> None:
+    """Refuse rows without a key: no hash can place them, and a predicate would lose them."""
+    if df.where(F.col(key).isNull()).limit(1).count():
+        raise ValueError(f"{key} must not be NULL: rows without it cannot be placed")
 
 
 def strata_sizes(df: DataFrame, stratum: Column) -> dict[object, int]:
@@ -34,11 +38,12 @@ def _hash_cuts(
     sizes: Callable[[int], Sequence[int]],
 ) -> tuple[Column, dict[object, list[TopCut]]]:
     """Cuts of the smallest hashes per stratum (the score is the negated hash)."""
+    require_keys(df, key)
     score = -hash_number(seed, F.col(key)).cast("double")
-    rows = strata_sizes(df.where(F.col(key).isNotNull()), stratum)
+    rows = strata_sizes(df, stratum)
     names = {f"s{i}": v for i, v in enumerate(rows)}
     _, cuts = top_cuts(
-        df.where(F.col(key).isNotNull()),
+        df,
         {n: score for n in names},
         key,
         {n: sizes for n in names},
@@ -93,15 +98,9 @@ def assign_folds(
 def hash_sample(df: DataFrame, key: str, rows: int, seed: int | str = 42) -> DataFrame:
     """At most ``rows`` rows, the same ones under any layout.
 
-    A small sample is a top-k; a large one is a predicate, so it never meets in one task.
+    The sample is a predicate, so it never meets in one task, whatever its size.
     """
-    if rows > SMALL_SAMPLE:
-        score = -hash_number(seed, F.col(key)).cast("double")
-        _, cuts = top_cuts(df, {"h": score}, key, {"h": lambda n: [rows]})
-        return df.where(cuts["h"][0].contains(score, F.col(key)))
-    return (
-        df.withColumn("_hash", hash_number(seed, F.col(key)))
-        .orderBy("_hash", key)
-        .limit(rows)
-        .drop("_hash")
-    )
+    require_keys(df, key)
+    score = -hash_number(seed, F.col(key)).cast("double")
+    _, cuts = top_cuts(df, {"h": score}, key, {"h": lambda n: [rows]})
+    return df.where(cuts["h"][0].contains(score, F.col(key)))

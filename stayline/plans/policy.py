@@ -29,15 +29,18 @@ def target_profitable_customers(
     expected_remaining_months: float | Column,
     campaign_cost: float | Column,
     ordered: bool = True,
+    key: str | None = None,
 ) -> DataFrame:
-    """Add ``expected_net_value`` and ``target``; ``ordered=False`` saves the sort."""
+    """Add ``expected_net_value`` and ``target``; ``ordered=False`` saves the sort. ``key``
+    breaks ties of the order, ascending."""
     value = expected_customer_value(
         F.col("predicted_uplift"), monthly_margin, expected_remaining_months, campaign_cost
     )
     result = scored.withColumn("expected_net_value", value).withColumn(
         "target", F.col("expected_net_value") > 0
     )
-    return result.orderBy(F.desc_nulls_last("expected_net_value")) if ordered else result
+    ties = [F.asc(key)] if key else []
+    return result.orderBy(F.desc_nulls_last("expected_net_value"), *ties) if ordered else result
 
 
 def optimize_threshold(
@@ -98,6 +101,8 @@ def posterior_campaign_profit(
     gain = float(n_targeted) * monthly_margin * retained_months
     cost = float(n_targeted) * cost_per_customer
     low, high = exact_quantiles(samples, {reduction: [0.025, 0.975]})[reduction]
+    if low is None:
+        raise ValueError("There is no posterior sample")
     if gain < 0:
         low, high = high, low
     profit = F.col(reduction) * F.lit(gain) - F.lit(cost)

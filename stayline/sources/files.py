@@ -42,14 +42,18 @@ def _numbered(df: DataFrame, name: str) -> DataFrame:
     """Add 1..N in file order (path, offset in the file, line).
 
     A file split lies in one task, so a row's place in its split is local; the
-    splits' row counts give the offsets. Rows are not shuffled.
+    splits' row counts give the offsets. Rows are not shuffled, but written once with
+    their places: a later scan may cut the files at other points.
     """
     split = ["_path", "_start"]
-    placed = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_start"),
-    ).withColumn("_place", F.monotonically_increasing_id())
+    placed = stage(
+        df.select(
+            "*",
+            F.col("_metadata.file_path").alias("_path"),
+            F.col("_metadata.file_block_start").alias("_start"),
+        ).withColumn("_place", F.monotonically_increasing_id()),
+        "placed",
+    )
     in_file_order = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
     splits = (
         placed.groupBy(*split)
@@ -57,7 +61,7 @@ def _numbered(df: DataFrame, name: str) -> DataFrame:
         .withColumn("_before", F.coalesce(F.sum("_rows").over(in_file_order), F.lit(0)))
         .drop("_rows")
     )
-    splits = stage(splits, "splits")  # the lines are counted once, without parsing fields
+    splits = stage(splits, "splits")
     if splits.count() <= BROADCAST_SPLITS:
         splits = F.broadcast(splits)
     return (
@@ -83,7 +87,12 @@ def write_result(df: DataFrame, path: str, *, format: str = "parquet") -> None:
     """Replace the folder ``path``; ``format`` is parquet or csv (with header)."""
     writer = df.write.mode("overwrite")
     if format == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        writer = (
+            writer.option("header", True)
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+        )
     writer.format(format).save(path)
 
 

@@ -237,13 +237,18 @@ def posterior_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     "uplift_histogram",
     oracle(
         "campaign_scored",
-        """select bin, round(low + bin * width, 9) as bin_start, count(*) as draws,
-        round(count(*) / (any_value(n) * any_value(width)), 6) as density from (
-          select least(cast(floor((predicted_uplift - low) / width) as int), 79) as bin, low, width, n
-          from campaign_scored, (select min(predicted_uplift) as low,
+        """select g.bin, round(low + g.bin * width, 9) as bin_start, count(b.bin) as draws,
+        round(count(b.bin) / (n * width), 6) as density
+        from (select cast(range as int) as bin from range(80)) g,
+          (select min(predicted_uplift) as low,
             (max(predicted_uplift) - min(predicted_uplift)) / 80 as width, count(*) as n
-            from campaign_scored))
-        group by bin, low, width""",
+            from campaign_scored) s
+        left join (
+          select least(cast(floor((predicted_uplift - low) / width) as int), 79) as bin
+          from campaign_scored, (select min(predicted_uplift) as low,
+            (max(predicted_uplift) - min(predicted_uplift)) / 80 as width from campaign_scored)) b
+          on b.bin = g.bin
+        group by g.bin, low, width, n""",
     ),
 )
 def uplift_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

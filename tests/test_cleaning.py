@@ -56,7 +56,9 @@ def test_labels(rows):
 
 def test_constraints(rows):
     good = rows([(1, 0), (2, 1), (3, None)], "k int, y int")
-    assert cleaning.enforce_constraints(good, "k", binary=["y"]) is good
+    checked = cleaning.enforce_constraints(good, "k", binary=["y"])
+    assert sorted(checked.collect()) == sorted(good.collect())
+    assert "LocalTableScan" not in checked._jdf.queryExecution().executedPlan().toString()  # it reads what was checked
     bad = rows([(1, 0), (1, 2), (None, 1)], "k int, y int")
     report = {r["rule"]: r["violations"] for r in cleaning.constraint_report(bad, "k", binary=["y"]).collect()}
     assert report == {"k not null": 1, "y in (0, 1)": 1, "k unique": 1}

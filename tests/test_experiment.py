@@ -86,7 +86,10 @@ def test_histogram_is_a_density(rows):
     assert sum(r["draws"] for r in bars) == 100
     assert sum(r["density"] for r in bars) * 99 / 8 == pytest.approx(1)
     same = experiment.density_histogram(rows([(2.0,), (2.0,)], "x double"), "x").collect()
-    assert [r["draws"] for r in same] == [2]
+    assert {r["bin"]: r["draws"] for r in same} == {b: 2 * (b == 0) for b in range(80)}
+    gap = experiment.density_histogram(rows([(0.0,), (8.0,), (float("nan"),)], "x double"), "x", bins=8)
+    assert sorted((r["bin"], r["draws"]) for r in gap.collect()) == [(0, 1), *((b, 0) for b in range(1, 7)), (7, 1)]
+    assert experiment.density_histogram(rows([], "x double"), "x").count() == 0
 
 
 @pytest.mark.parametrize("n, sizes", [(12, [2, 1, 1, 1, 1, 1, 1, 1, 1, 2]), (3, [1, 1, 1]), (1, [1])])

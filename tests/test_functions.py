@@ -73,3 +73,12 @@ def test_hash_is_uniform_and_layout_free(spark):
     assert df.join(again, "id").where("h <> h2").count() == 0
     low, high, mean = df.agg(F.min("u"), F.max("u"), F.avg("u")).first()
     assert 0 <= low < 0.01 and 0.99 < high < 1 and abs(mean - 0.5) < 0.01
+
+
+def test_undefined_numbers_are_missing(rows):
+    df = rows([(float("nan"), "Two year", "Yes")], "x double, c string, s string")
+    row = df.select(
+        bands.tenure_band(F.col("x")).alias("band"),
+        bands.customer_segment(F.lit(20), F.col("x"), F.col("c"), F.col("s"), 50.0).alias("segment"),
+    ).first()
+    assert row["band"] is None and row["segment"] == "core_customers"

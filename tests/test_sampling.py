@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from stayline.operators.sampling import assign_folds, hash_sample, stratified_split
@@ -47,10 +48,16 @@ def test_sample_is_the_same_under_any_layout(spark):
     assert {r["id"] for r in a.collect()} == {r["id"] for r in b.collect()} and a.count() == 50
 
 
-def test_large_sample_is_the_same_set(spark, monkeypatch):
-    from stayline.operators import sampling
-
-    small = {r["id"] for r in hash_sample(frame(spark, 3), "id", 50).collect()}
-    monkeypatch.setattr(sampling, "SMALL_SAMPLE", 10)
-    assert {r["id"] for r in hash_sample(frame(spark, 5), "id", 50).collect()} == small
+def test_sample_larger_than_the_table_is_the_table(spark):
     assert hash_sample(frame(spark, 5), "id", 5000).count() == 3001
+
+
+def test_rows_without_key_are_refused(rows):
+    df = rows([(1, 0), (None, 1)], "id long, y int")
+    for place in (
+        lambda: hash_sample(df, "id", 1),
+        lambda: stratified_split(df, "id", F.col("y"), 0.5),
+        lambda: assign_folds(df, "id", F.col("y"), 2),
+    ):
+        with pytest.raises(ValueError, match="must not be NULL"):
+            place()
