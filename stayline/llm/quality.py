@@ -132,10 +132,13 @@ def fit_quality(stats: DataFrame, labels: DataFrame, sample_rows: int = 20_000,
         .groupBy("doc_id")
         .agg(F.max("quality").alias("quality"))
     )
+    labelled = stats.select("doc_id", "features").join(known, "doc_id")
+    # a share slightly above what is wanted, so that hardly more than the sample is moved
+    share = min(1.0, 1.2 * sample_rows / max(1, labelled.count()))
+    place = F.xxhash64(F.lit(seed), "doc_id")
     sample = (
-        stats.select("doc_id", "features")
-        .join(known, "doc_id")
-        .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "features")
+        labelled.where(F.pmod(place, F.lit(2**32)) < int(share * 2**32))
+        .orderBy(F.pmod(place, F.lit(2**32)), "doc_id", "features")
         .limit(sample_rows)
         .select("features", "quality")
         .collect()
