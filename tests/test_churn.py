@@ -232,7 +232,8 @@ def test_tree_values_by_definition(spark, customers, forest):
                 expected[row, f] += v / len(tables)
         base += start / len(tables)
     paths = [p for t in tables for p in explain._leaf_paths(t, False, 1 / len(tables))]
-    found, found_base = explain.tree_shapley(x, paths)
+    packed, found_base = explain.pack_paths(paths)
+    found = explain.tree_shapley(x, packed)
     assert np.allclose(found, expected) and found_base == pytest.approx(base)
 
 
