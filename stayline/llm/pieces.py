@@ -8,6 +8,7 @@ a higher-order aggregate folds them into the best path (Viterbi): the largest su
 scores, then the fewest pieces, then the longest last piece, and so on backwards. A character without
 a piece becomes its UTF-8 bytes, at a cost below any piece's. The words' paths go back to
 the documents through blocks of documents, each of which asks for its distinct words once.
+Blocks are written bucketed, so that answers are shuffled to them and they stay in place.
 
 The text is taken with one space in front, which decoding takes away again; a piece's
 space mark is a space here, so that a mark in the text itself is kept by its bytes, and
@@ -20,7 +21,9 @@ are not read. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -34,13 +37,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.llm.packing import pack, pack_ranks, unpack, unpack_ranks
-from stayline.session import stage
+from stayline.session import new_path, stage
 
 MODEL = "piece_bpe_32k.model"
 BLOCK_CHARS = 4_000_000
 SHARD_WORDS = 100_000
 _WORD = re.compile(r" ?[^\W\d_]{1,63}| ?(?:[\d_]|[^\w \n]){1,63}| |\n")
 _MARK = "▁"
+#: Edges as one number: a word has fewer than _SIDE characters, a vocabulary fewer than _IDS pieces.
+_SIDE, _IDS = 128, 2**32
 
 
 def model_path(name: str = MODEL) -> str:
@@ -71,8 +76,13 @@ class Vocabulary:
         }
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(p, i, float(s)) for p, (i, s) in self.pieces.items()]
-        return spark.createDataFrame(rows, "piece string, id int, score double")
+        return spark.createDataFrame([(p, i) for p, (i, _) in self.pieces.items()], "piece string, id long")
+
+    def scores(self) -> Column:
+        """An array of the scores by id, a constant of the plan."""
+        by_id = dict(self.pieces.values())
+        known = [by_id.get(i, self.byte_cost) for i in range(max(by_id) + 1)]
+        return F.from_json(F.lit(json.dumps(known)), "array<double>")
 
 
 def split_words(text: str | None) -> list[str]:
@@ -80,36 +90,56 @@ def split_words(text: str | None) -> list[str]:
 
 
 def lattice_paths(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``words`` (columns part and word, distinct) with ``ids``, the best path of each word.
+    """``words`` (columns part, number and word; part and number name a word) with ``ids``, the
+    best path of each word, without ``word``.
 
     Words are dealt out once; substrings, edges and paths stay where their word is. The piece
-    table is as large as the vocabulary, which does not grow with the data.
+    table is as large as the vocabulary, which does not grow with the data. An edge travels
+    as one number, (end, begin, id), the id -1 where the character has no piece.
     """
-    spark = words.sparkSession
     size = F.length("word")
-    starts = words.repartition("part", "word").select("part", "word", F.explode(F.sequence(F.lit(1), size)).alias("start"))
+    named = words.withColumn("name", F.shiftleft(F.col("part").cast("long"), 32) + F.col("number"))
+    dealt = named.select("name", "word").repartition("name")
+    starts = dealt.select("name", "word", F.explode(F.sequence(F.lit(1), size)).alias("start"))
     most = F.least(F.lit(vocabulary.longest), size - F.col("start") + 1)
-    spans = starts.select("part", "word", "start", F.explode(F.sequence(F.lit(1), most)).alias("length"))
-    spans = spans.withColumn("piece", F.expr("substring(word, start, length)"))
-    joined = spans.join(F.broadcast(vocabulary.table(spark)), "piece", "left").where("id is not null or length = 1")
-    known = F.col("id").isNotNull()
-    byte_ids = F.array(*[F.lit(i) for i in vocabulary.byte_ids])
-    spelled = F.hex(F.encode("piece", "UTF-8"))
-    as_bytes = F.transform(
-        F.sequence(F.lit(0), (F.length(spelled) / 2).cast("int") - 1),
-        lambda i: F.get(byte_ids, F.conv(F.substr(spelled, i * 2 + 1, F.lit(2)), 16, 10).cast("int")),
+    spans = starts.select("name", "word", "start", F.explode(F.sequence(F.lit(1), most)).alias("length"))
+    spans = spans.select(
+        "name",
+        "start",
+        "length",
+        F.expr("substring(word, start, length)").alias("piece"),
+        F.when((F.col("start") == 1) & (F.col("length") == 1), F.col("word")).alias("word"),
     )
-    edges = joined.select(
-        "part",
-        "word",
-        F.struct(
-            (F.col("start") + F.col("length") - 1).alias("end"),
-            (F.col("start") - 1).alias("begin"),
-            F.when(known, F.col("score")).otherwise(F.lit(vocabulary.byte_cost)).alias("score"),
-            F.when(known, F.array("id")).otherwise(as_bytes).alias("ids"),
-        ).alias("edge"),
+    joined = spans.join(F.broadcast(vocabulary.table(words.sparkSession)), "piece", "left").where(
+        "id is not null or length = 1"
     )
-    grouped = edges.groupBy("part", "word").agg(F.collect_list("edge").alias("edges"))
+    end, begin = F.col("start") + F.col("length") - 1, F.col("start") - 1
+    edge = (end * _SIDE + begin).cast("long") * _IDS + F.coalesce("id", F.lit(-1).cast("long")) + 1
+    grouped = (
+        joined.select("name", edge.alias("edge"), "word")
+        .groupBy("name")
+        .agg(F.collect_list("edge").alias("edges"), F.max("word").alias("word"))
+    )
+    scores = vocabulary.scores()
+    byte_ids = F.from_json(F.lit(json.dumps(vocabulary.byte_ids)), "array<int>")
+
+    def opened(edge: Column) -> Column:
+        place = F.floor(edge / _IDS)
+        piece = (edge % _IDS - 1).cast("int")
+        begin = (place % _SIDE).cast("int")
+        spelled = F.hex(F.encode(F.substr(F.col("word"), begin + 1, F.lit(1)), "UTF-8"))
+        as_bytes = F.transform(
+            F.sequence(F.lit(0), (F.length(spelled) / 2).cast("int") - 1),
+            lambda i: F.get(byte_ids, F.conv(F.substr(spelled, i * 2 + 1, F.lit(2)), 16, 10).cast("int")),
+        )
+        return F.struct(
+            F.floor(place / _SIDE).cast("int").alias("end"),
+            begin.alias("begin"),
+            F.when(piece >= 0, F.get(scores, piece)).otherwise(F.lit(vocabulary.byte_cost)).alias("score"),
+            F.when(piece >= 0, F.array(piece)).otherwise(as_bytes).alias("ids"),
+        )
+
+    lattice = grouped.select("name", F.length("word").alias("size"), F.transform("edges", opened).alias("edges"))
 
     def best(paths: Column, end: Column) -> Column:
         into = F.filter("edges", lambda e: e["end"] == end)
@@ -124,8 +154,12 @@ def lattice_paths(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             F.array().cast("array<int>").alias("ids"),
         )
     )
-    paths = F.aggregate(F.sequence(F.lit(1), F.length("word")), nothing, best, lambda p: F.element_at(p, -1)["ids"])
-    return grouped.select("part", "word", paths.alias("ids"))
+    paths = F.aggregate(F.sequence(F.lit(1), F.col("size")), nothing, best, lambda p: F.element_at(p, -1)["ids"])
+    return lattice.select(
+        F.shiftright("name", 32).cast("int").alias("part"),
+        F.col("name").bitwiseAND(F.lit(0xFFFFFFFF)).alias("number"),
+        paths.alias("ids"),
+    )
 
 
 def _extended(path: Column, edge: Column) -> Column:
@@ -139,17 +173,19 @@ def _extended(path: Column, edge: Column) -> Column:
 
 
 def make_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Documents in blocks: ids, words in each, the block's distinct words, most frequent
-    first, and every word as a number among them."""
-    names = ["block", "doc_ids", "lengths", "words", "tokens", "n_words"]
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.int64()]
+    """Documents in blocks: ids, words in each, the block's distinct words in alphabetical
+    order, their ranks by frequency, and every word of the texts by its rank."""
+    names = ["block", "doc_ids", "lengths", "words", "ranks", "tokens", "n_words"]
+    kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64()]
 
     def block(number: int, ids: list, texts: list[list[str]]) -> pa.RecordBatch:
-        words = [w for w, _ in Counter(chain.from_iterable(texts)).most_common()]
-        rank = dict(zip(words, range(len(words)), strict=True))
+        often = [w for w, _ in Counter(chain.from_iterable(texts)).most_common()]
+        rank = dict(zip(often, range(len(often)), strict=True))
         tokens = np.fromiter(map(rank.__getitem__, chain.from_iterable(texts)), np.uint32)
+        words = sorted(often)
+        ranks = np.fromiter(map(rank.__getitem__, words), np.uint32, len(words))
         lengths = np.array([len(t) for t in texts], np.int32)
-        values = [number, ids, pack(lengths), words, pack_ranks(tokens), len(words)]
+        values = [number, ids, pack(lengths), _joined(words), pack_ranks(ranks), pack_ranks(tokens), len(words)]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,23 +203,54 @@ def make_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
             yield block(number, ids, texts)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "block long, doc_ids array<long>, lengths binary, words array<string>, tokens binary, n_words long"
+        run,
+        "block long, doc_ids array<long>, lengths binary, words binary, ranks binary, tokens binary, n_words long",
     )
 
 
+def _bucketed(blocks: DataFrame) -> DataFrame:
+    """``blocks`` written once in the shared folder, bucketed by block: a later grouping by
+    block shuffles only what is joined to it."""
+    spark = blocks.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.write.bucketBy(buckets, "block").option("path", new_path(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
 def _parts(words: list[str], shards: int) -> np.ndarray:
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
     return (((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
-def _joined(words: list[str]) -> tuple[bytes, bytes]:
-    return pack(np.array([len(w) for w in words], np.uint8)), pack(np.frombuffer("".join(words).encode(), np.uint8))
-
-
-def _cut(lengths: bytes, letters: bytes) -> list[str]:
-    ends = np.cumsum(unpack(lengths, np.uint8)).tolist()
-    text = bytes(unpack(letters, np.uint8)).decode()
-    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+def _joined(words: list[str]) -> bytes:
+    """Words in order, each after the length of the start it shares with the one before."""
+    shared, rest, last = [], [], ""
+    for word in words:
+        n = 0
+        for x, y in zip(word, last, strict=False):
+            if x != y:
+                break
+            n += 1
+        shared.append(n)
+        rest.append(word[n:])
+        last = word
+    lengths = np.array([shared, [len(r) for r in rest]], np.uint8)
+    letters = "".join(rest).encode()
+    return pack(np.r_[np.array([len(words)], "<u4").view(np.uint8), lengths.ravel(), np.frombuffer(letters, np.uint8)])
+
+
+def _cut(data: bytes) -> list[str]:
+    flat = unpack(data, np.uint8)
+    n = int(flat[:4].view("<u4")[0])
+    shared, sizes = flat[4 : 4 + n].tolist(), flat[4 + n : 4 + 2 * n].tolist()
+    letters = flat[4 + 2 * n :].tobytes().decode()
+    words, last, at = [], "", 0
+    for keep, size in zip(shared, sizes, strict=True):
+        last = last[:keep] + letters[at : at + size]
+        at += size
+        words.append(last)
+    return words
 
 
 def word_lists(blocks: DataFrame, shards: int) -> DataFrame:
@@ -191,22 +258,19 @@ def word_lists(blocks: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = _cut(packed)
                 parts = _parts(words, shards)
                 order = np.argsort(parts, kind="stable")
                 edges = np.flatnonzero(np.diff(parts[order], prepend=-1, append=shards))
                 rows = [
-                    (int(parts[order[a]]), block, *_joined([words[i] for i in order[a:b]]))
+                    {"part": int(parts[order[a]]), "block": block, "words": _joined([words[i] for i in order[a:b]])}
                     for a, b in zip(edges[:-1], edges[1:], strict=True)
                 ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
-                    if rows
-                    else [pa.array([], k) for k in (pa.int32(), pa.int64(), pa.binary(), pa.binary())],
-                    ["part", "block", "lengths", "letters"],
-                )
+                schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("words", pa.binary())])
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return blocks.select("block", "words").mapInArrow(run, "part int, block long, lengths binary, letters binary")
+    return blocks.select("block", "words").mapInArrow(run, "part int, block long, words binary")
 
 
 def encode(
@@ -214,36 +278,33 @@ def encode(
 ) -> DataFrame:
     """doc_id, n_words, n_pieces and ids for every row of ``docs``."""
     vocabulary = Vocabulary(path or model_path())
-    blocks = stage(make_blocks(docs, block_chars), "blocks")
+    blocks = _bucketed(make_blocks(docs, block_chars))
     shards = max(8, -(-int(blocks.agg(F.sum("n_words")).first()[0] or 0) // shard_words))
     lists = word_lists(blocks, shards)
 
     def distinct(lists: pd.DataFrame) -> pd.DataFrame:
-        words = set(chain.from_iterable(map(_cut, lists["lengths"], lists["letters"])))
-        return pd.DataFrame({"part": lists["part"].iloc[0], "word": sorted(words)})
+        words = sorted(set(chain.from_iterable(map(_cut, lists["words"]))))
+        return pd.DataFrame({"part": lists["part"].iloc[0], "number": range(len(words)), "word": words})
 
-    words = lists.groupBy("part").applyInPandas(distinct, "part int, word string")
+    words = lists.groupBy("part").applyInPandas(distinct, "part int, number long, word string")
     paths = stage(lattice_paths(words, vocabulary), "paths")
 
     def answer(lists: pa.Table, paths: pa.Table) -> pa.Table:
+        paths = paths.sort_by("number")  # the numbers of the words in alphabetical order
         ids = paths["ids"].combine_chunks()
-        known = dict(zip(paths["word"].to_pylist(), range(len(ids)), strict=True))
-        sizes, offsets = ids.value_lengths().to_numpy(), ids.offsets.to_numpy()
-        values = ids.values.to_numpy()
+        offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+        cut = [_cut(x) for x in lists["words"].to_pylist()]
+        number = {w: i for i, w in enumerate(sorted(set(chain.from_iterable(cut))))}
         rows = []
-        for part, block, lengths, letters in zip(*(lists[c].to_pylist() for c in lists.column_names), strict=True):
-            at = np.fromiter(map(known.__getitem__, _cut(lengths, letters)), np.int64)
-            found = np.repeat(offsets[at], sizes[at]) + _inside(sizes[at])
-            rows.append((block, part, pack(sizes[at].astype(np.uint8)), pack(values[found].astype(np.uint32))))
-        columns = zip(*rows, strict=True) if rows else [[]] * 4
-        return pa.table(
-            {
-                name: pa.array(c, k)
-                for name, c, k in zip(
-                    ["block", "part", "sizes", "ids"], columns, [pa.int64(), pa.int32(), pa.binary(), pa.binary()], strict=True
-                )
-            }
-        )
+        for part, block, words in zip(lists["part"].to_pylist(), lists["block"].to_pylist(), cut, strict=True):
+            at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            sizes = offsets[at + 1] - offsets[at]
+            found = np.repeat(offsets[at], sizes) + _inside(sizes)
+            rows.append(
+                {"block": block, "part": part, "sizes": pack(sizes.astype(np.uint8)), "ids": pack_ranks(values[found])}
+            )
+        schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
+        return pa.Table.from_pylist(rows, schema)
 
     answers = (
         lists.groupBy("part")
@@ -262,11 +323,11 @@ def encode(
         found = sorted(answers.to_pylist(), key=lambda r: r["part"])
         if found:
             sizes = np.concatenate([unpack(r["sizes"], np.uint8) for r in found]).astype(np.int64)
-            ids = np.concatenate([unpack(r["ids"], np.uint32) for r in found])
+            ids = np.concatenate([unpack_ranks(r["ids"]) for r in found])
         # answers come by shard; `place` is where the word of each rank is among them
-        order = np.argsort(_parts(row["words"], shards), kind="stable")
+        order = np.argsort(_parts(_cut(row["words"]), shards), kind="stable")
         place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place[unpack_ranks(row["ranks"])[order]] = np.arange(len(order))
         begins = np.r_[0, np.cumsum(sizes)][:-1]
         at = place[tokens]
         each = sizes[at]
@@ -283,7 +344,7 @@ def encode(
         )
 
     return (
-        blocks.select("block", "doc_ids", "lengths", "words", "tokens")
+        blocks.select("block", "doc_ids", "lengths", "words", "ranks", "tokens")
         .groupBy("block")
         .cogroup(answers.groupBy("block"))
         .applyInArrow(assemble, "doc_id long, n_words long, n_pieces long, ids array<int>")
