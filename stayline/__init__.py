@@ -23,6 +23,7 @@ from stayline.operators.cleaning import (
     strict_cast,
     valid_binary,
 )
+from stayline.models.classifiers import build_models
 from stayline.operators.sampling import assign_folds, hash_sample, stratified_split
 from stayline.plans.churn import (
     ChurnAnalysis,
@@ -35,7 +36,10 @@ from stayline.plans.experiment import (
     BayesianABResult,
     ExperimentAnalysis,
     bayesian_ab_churn,
+    bayesian_from_counts,
     beta_posterior,
+    density_histogram,
+    effect_from_counts,
     estimate_ab_effect,
     run_experiment_analysis,
     validate_experiment,
@@ -57,6 +61,7 @@ from stayline.plans.policy import (
 from stayline.plans.uplift import (
     causal_effect_forest,
     fit_t_learner,
+    qini_area,
     qini_auc,
     qini_like_curve,
     t_learner_uplift,

@@ -18,11 +18,11 @@ def arms(rows, control, treated):
 
 
 def test_validation(rows):
-    with pytest.raises(ValueError, match="missing required columns"):
+    with pytest.raises(ValueError, match="lacks the columns"):
         experiment.validate_experiment(rows([(1,)], "t int"))
-    with pytest.raises(ValueError, match="t must contain"):
+    with pytest.raises(ValueError, match="t needs rows"):
         experiment.estimate_ab_effect(rows([(1, 0), (1, 1)], "t int, y int"))
-    with pytest.raises(ValueError, match="y must contain"):
+    with pytest.raises(ValueError, match="y needs rows"):
         experiment.validate_experiment(rows([(1, 0), (0, 2)], "t int, y int"))
 
 
@@ -53,12 +53,12 @@ def test_segment_without_an_arm_is_undefined(rows):
 
 def test_beta_posterior(rows):
     assert experiment.beta_posterior(3, 7) == (4.0, 8.0)
-    with pytest.raises(ValueError, match="non-negative"):
+    with pytest.raises(ValueError, match="below zero"):
         experiment.beta_posterior(-1, 2)
     df = rows([(3, 7)], "s int, f int")
     a, b = experiment.beta_posterior(F.col("s"), F.col("f"))
     assert tuple(df.select(a, b).first()) == (4.0, 8.0)
-    with pytest.raises(Exception, match="non-negative"):
+    with pytest.raises(Exception, match="below zero"):
         df.select(*experiment.beta_posterior(F.col("s") - 9, F.col("f"))).collect()
 
 
@@ -107,7 +107,7 @@ def test_deciles_with_equal_scores(rows):
 
 def test_qini_needs_both_arms(rows):
     df = rows([(1, 1, 0, 0.1)], "campaign_row_id int, t int, y int, predicted_uplift double")
-    with pytest.raises(ValueError, match="treated and control"):
+    with pytest.raises(ValueError, match="both arms"):
         uplift.qini_like_curve(df)
 
 
@@ -196,10 +196,10 @@ def test_effect_forest_finds_the_persuadable(spark):
 
 def test_t_learner_needs_arms_and_outcomes(rows):
     df = rows([(1.0, 0, 0), (2.0, 0, 1), (3.0, 0, 1)], "x double, t int, y int")
-    with pytest.raises(ValueError, match="treatment must contain"):
+    with pytest.raises(ValueError, match="both arms"):
         uplift.t_learner_uplift(df, ["x"])
     df = rows([(1.0, 0, 0), (2.0, 0, 1), (3.0, 1, 0)], "x double, t int, y int")
-    with pytest.raises(ValueError, match="churn outcomes"):
+    with pytest.raises(ValueError, match="churned customer"):
         uplift.t_learner_uplift(df, ["x"])
 
 
