@@ -49,7 +49,20 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-@query("op9_warc")
+WARC_SQL = """
+with records as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
+  from pages),
+firsts as (
+  select payload_digest, min(page_id) as first_id from records where payload_bytes >= 100 group by all)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+  case when page_id is distinct from first_id and first_id is not null then 'revisit' else 'response' end
+    as record_type,
+  case when page_id is distinct from first_id then first_id end as refers_to
+from records left join firsts using (payload_digest)"""
+
+
+@query("op9_warc", WARC_SQL)
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(warc.resolve_revisits(table(spark, sf_dir, "pages")), path)
