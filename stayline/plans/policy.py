@@ -43,16 +43,21 @@ def target_profitable_customers(
     return result.orderBy(F.desc_nulls_last("expected_net_value"), *ties) if ordered else result
 
 
+def _amount(value: float | Column) -> Column:
+    return value.cast("double") if isinstance(value, Column) else F.lit(float(value))
+
+
 def optimize_threshold(
     scored: DataFrame,
-    retained_customer_value: float,
-    campaign_cost: float,
+    retained_customer_value: float | Column,
+    campaign_cost: float | Column,
     thresholds: Sequence[float] | None = None,
     *,
     uplift: str = "predicted_uplift",
 ) -> DataFrame:
     """Customers and total profit at each uplift threshold, best first.
 
+    Value and cost are numbers or columns of ``scored`` (each customer's own).
     Each row falls into one interval between thresholds; the totals above a threshold
     are sums over at most 102 intervals, not a rescan per threshold.
     """
@@ -63,9 +68,18 @@ def optimize_threshold(
         raise ValueError("There is no uplift value or threshold to compare")
     spark = scored.sparkSession
     per_interval = (
-        with_step(scored.select(F.col(uplift).cast("double").alias("_uplift")), "_uplift", grid, "step")
+        with_step(
+            scored.select(
+                F.col(uplift).cast("double").alias("_uplift"),
+                (F.col(uplift).cast("double") * _amount(retained_customer_value)).alias("_gain"),
+                _amount(campaign_cost).alias("_cost"),
+            ),
+            "_uplift",
+            grid,
+            "step",
+        )
         .groupBy("step")
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum("_uplift").alias("total"))
+        .agg(F.count(F.lit(1)).alias("rows"), (F.sum("_gain") - F.sum("_cost")).alias("profit"))
         .where("step > 0")
     )
     at_least = Window.orderBy(F.desc("step"))  # one row per threshold
@@ -73,15 +87,13 @@ def optimize_threshold(
         [(i + 1, v) for i, v in enumerate(grid)], "step int, uplift_threshold double"
     )
     rows = F.sum(F.coalesce("rows", F.lit(0))).over(at_least)
-    total = F.sum(F.coalesce("total", F.lit(0.0))).over(at_least)
+    profit = F.sum(F.coalesce("profit", F.lit(0.0))).over(at_least)
     return (
         steps.join(per_interval, "step", "left")
         .select(
             "uplift_threshold",
             rows.alias("customers_targeted"),
-            (total * F.lit(retained_customer_value) - rows * F.lit(campaign_cost)).alias(
-                "expected_total_profit"
-            ),
+            profit.alias("expected_total_profit"),
         )
         .orderBy(F.desc("expected_total_profit"), "uplift_threshold")
     )
@@ -125,15 +137,17 @@ def compare_policies(
     scored: DataFrame,
     random_state: int = 42,
     *,
-    retained_customer_value: float = 480.0,
-    campaign_cost: float = 10.0,
+    retained_customer_value: float | Column = 480.0,
+    campaign_cost: float | Column = 10.0,
     key: str = "campaign_row_id",
     fractions: Sequence[float] = TARGET_FRACTIONS,
 ) -> DataFrame:
     """Estimated gain and profit of targeting by uplift, churn risk or at random.
 
     The best n rows of each policy are found as cut predicates (no sort); one
-    aggregate then serves all policies and fractions.
+    aggregate then serves all policies and fractions. Value and cost are numbers or
+    columns of ``scored``; with columns the profit weighs each prevented churn by its
+    customer's value and takes off the costs of those targeted.
     """
     policies = {
         "uplift": F.col("predicted_uplift"),
@@ -154,7 +168,12 @@ def compare_policies(
     )
 
     ranked = scored.select(
-        key, "t", "y", *[sortable_score(score).alias(f"_{p}") for p, score in policies.items()]
+        key,
+        "t",
+        "y",
+        _amount(retained_customer_value).alias("_value"),
+        _amount(campaign_cost).alias("_cost"),
+        *[sortable_score(score).alias(f"_{p}") for p, score in policies.items()]
     )
     memberships = F.inline(
         F.array(
@@ -169,7 +188,7 @@ def compare_policies(
     )
     t, y = F.col("t").cast("long"), F.col("y").cast("long")
     per_tier = (
-        ranked.select("t", "y", memberships)
+        ranked.select("t", "y", "_value", "_cost", memberships)
         .where(F.col("tier") < len(shares))
         .groupBy("policy", "tier")
         .agg(
@@ -177,23 +196,26 @@ def compare_policies(
             F.sum(t).alias("n_t"),
             F.sum(y * (1 - t)).alias("y_c"),
             F.sum(y * t).alias("y_t"),
+            F.sum(y * (1 - t) * F.col("_value")).alias("v_c"),
+            F.sum(y * t * F.col("_value")).alias("v_t"),
+            F.sum("_cost").alias("cost"),
         )
     )
     nested = Window.partitionBy("policy").orderBy("tier")  # one row per fraction
-    totals = [F.sum(F.coalesce(c, F.lit(0))).over(nested) for c in ("n", "n_t", "y_c", "y_t")]
+    n, n_t, y_c, y_t, v_c, v_t, cost = (
+        F.sum(F.coalesce(c, F.lit(0))).over(nested) for c in ("n", "n_t", "y_c", "y_t", "v_c", "v_t", "cost")
+    )
     gain = F.col("estimated_churns_prevented")
     return (
         targeted.join(per_tier, ["policy", "tier"], "left")
-        .withColumn("estimated_churns_prevented", prevented_churn(*totals))
+        .withColumn("estimated_churns_prevented", prevented_churn(n, n_t, y_c, y_t))
+        .withColumn("_profit", prevented_churn(n, n_t, v_c, v_t) - cost)
         .select(
             "policy",
             "target_fraction",
             "customers_targeted",
             gain,
-            (
-                gain * F.lit(float(retained_customer_value))
-                - F.col("customers_targeted") * F.lit(float(campaign_cost))
-            ).alias("estimated_incremental_profit"),
+            F.col("_profit").alias("estimated_incremental_profit"),
         )
         .orderBy("target_fraction", "policy")
     )

@@ -461,6 +461,72 @@ def policy_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Values and costs that differ from customer to customer.
+OWN_VALUE = "300 + campaign_row_id % 7 * 50"
+OWN_COST = "5 + campaign_row_id % 3"
+
+
+@query(
+    "threshold_profit_per_customer",
+    oracle(
+        "campaign_scored",
+        """select round(uplift_threshold, 9) as uplift_threshold, count(*) as customers_targeted,
+        round(sum(predicted_uplift * (300 + campaign_row_id % 7 * 50)) - sum(5 + campaign_row_id % 3), 4)
+          as expected_total_profit
+        from campaign_scored join thresholds on predicted_uplift >= uplift_threshold
+        group by uplift_threshold""",
+        """places as (
+          select predicted_uplift as u, row_number() over (order by predicted_uplift) - 1 as r
+          from campaign_scored),
+        wanted as (
+          select (select count(*) - 1 from campaign_scored) * (cast(i as double) / 100) as place
+          from range(101) g(i)),
+        thresholds as (
+          select distinct case when place - floor(place) < 0.5
+            then a.u + (b.u - a.u) * (place - floor(place))
+            else b.u - (b.u - a.u) * (1 - (place - floor(place))) end as uplift_threshold
+          from wanted join places a on a.r = floor(place) join places b on b.r = ceil(place))""",
+    ),
+)
+def threshold_profit_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profit = policy.optimize_threshold(scored(spark, sf_dir), F.expr(OWN_VALUE), F.expr(OWN_COST))
+    return rounded(profit, {"uplift_threshold": 9, "expected_total_profit": 4})
+
+
+@query(
+    "policy_comparison_per_customer",
+    oracle(
+        "campaign_scored",
+        """select policy, target_fraction, any_value(size) as customers_targeted,
+        round(sum(y * (1 - t)) / (1 - avg(t)) - sum(y * t) / avg(t), 6)
+          as estimated_churns_prevented,
+        round(sum(y * (1 - t) * v) / (1 - avg(t)) - sum(y * t * v) / avg(t) - sum(c), 4)
+          as estimated_incremental_profit
+        from places join sizes on place <= size group by policy, target_fraction""",
+        """sizes as (
+          select f as target_fraction, greatest(1, cast(floor(n * f) as bigint)) as size
+          from (select unnest([0.1, 0.2, 0.3, 0.5, 1.0]::double[]) as f, count(*) as n
+                from campaign_scored)),
+        places as (
+          select t, y, 300 + campaign_row_id % 7 * 50 as v, 5 + campaign_row_id % 3 as c, 'uplift' as policy,
+            row_number() over (order by predicted_uplift desc, campaign_row_id) as place
+          from campaign_scored
+          union all select t, y, 300 + campaign_row_id % 7 * 50 as v, 5 + campaign_row_id % 3 as c, 'churn_risk',
+            row_number() over (order by p_churn_control desc, campaign_row_id) from campaign_scored
+          union all select t, y, 300 + campaign_row_id % 7 * 50 as v, 5 + campaign_row_id % 3 as c, 'random',
+            row_number() over (order by substr(md5('42:' || campaign_row_id), 1, 13) desc,
+              campaign_row_id) from campaign_scored)""",
+    ),
+)
+def policy_comparison_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(
+        policy.compare_policies(
+            scored(spark, sf_dir), retained_customer_value=F.expr(OWN_VALUE), campaign_cost=F.expr(OWN_COST)
+        ),
+        {"estimated_churns_prevented": 6, "estimated_incremental_profit": 4},
+    )
+
+
 # Learners
 
 

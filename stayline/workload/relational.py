@@ -98,6 +98,28 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "file_order",
+    oracle(
+        "retention",
+        """select cast(customer_id as string) as customer_id,
+        row_number() over (order by customer_id) as load_order from retention""",
+    ),
+)
+def file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row numbers of a CSV of several files, written in the order of its key."""
+    known = retention(spark, sf_dir).orderBy("customer_id")
+    text = known.select(
+        *[
+            (F.col(c).cast("string") if c in known.columns else F.lit("")).alias(c)
+            for c in CUSTOMER_COLUMNS
+        ]
+    )
+    path = new_path(spark, "ordered-csv")
+    write_result(text, path, format="csv")
+    return read_customers_csv(spark, path).select("customer_id", F.col("load_order").cast("long"))
+
+
 @query("scan_prune", "select o_orderkey, o_totalprice from orders where o_orderpriority = '1-URGENT'")
 def scan_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["o_orderkey", "o_totalprice", "o_orderpriority"]

@@ -137,3 +137,25 @@ def test_jdbc_options_partition_the_read():
     assert plain["dbtable"] == "public.t" and "numPartitions" not in plain
     split = tables.JdbcSource("u", partition_column="id", lower=0, upper=10, partitions=4).options("t")
     assert (split["partitionColumn"], split["numPartitions"]) == ("id", "4")
+
+
+def test_row_numbers_survive_another_cut_of_the_files(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("a\n" + "".join(f"{i}\n" for i in range(20_000)))
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "8k")
+        numbered = files._numbered(files.read_csv(spark, str(path), text_schema(["a"])), "n")
+        spark.conf.set(size, "64m")
+        assert all(int(r["a"]) + 1 == r["n"] for r in numbered.collect())
+        assert numbered.count() == 20_000
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_csv_keeps_spaces(spark, rows, tmp_path):
+    values = [" a ", "\tb", "c,d", 'said "x"']
+    files.write_result(rows([(v,) for v in values], "a string"), str(tmp_path / "out"), format="csv")
+    back = files.read_csv(spark, str(tmp_path / "out"), text_schema(["a"])).collect()
+    assert sorted(r["a"] for r in back) == sorted(values)
