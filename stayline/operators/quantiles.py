@@ -8,6 +8,7 @@ inside it are grouped and ranked. No row of the table is shuffled.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
@@ -206,17 +207,44 @@ def order_statistics(
 
 
 def _candidates(values: DataFrame, brackets: Sequence[_Bracket]) -> DataFrame:
-    """``cell``, ``value`` of the rows inside each bracket."""
+    """``cell``, ``value`` of the rows inside each bracket.
 
-    def tagged(i: int, b: _Bracket) -> Column:
-        return F.struct(F.lit(i).alias("cell"), F.col(b.column).alias("value"))
+    The ends of a column's brackets cut it into intervals; each value is looked up once and
+    goes to the brackets that cover its interval (brackets may overlap).
+    """
+    by_column: dict[str, list[int]] = {}
+    for i, b in enumerate(brackets):
+        by_column.setdefault(b.column, []).append(i)
 
-    if len(brackets) == 1:
-        (only,) = brackets
-        return values.where(only.holds()).select(tagged(0, only).alias("v")).select("v.*")
-    inside = [F.when(b.holds(), tagged(i, b)) for i, b in enumerate(brackets)]
-    hit = values.where(reduce(or_, [b.holds() for b in brackets]))  # few rows get an array
-    return hit.select(F.inline(F.array_compact(F.array(*inside))))
+    def ends(b: _Bracket) -> tuple[float, float]:
+        low = -math.inf if b.low is None else math.nextafter(b.low, math.inf)
+        return low, math.inf if b.high is None else b.high
+
+    names = list(by_column)
+    splits = [sorted({-math.inf, math.inf} | {x for i in by_column[c] for x in ends(brackets[i])}) for c in names]
+    covered = []
+    for c, points in zip(names, splits):
+        place = {x: k for k, x in enumerate(points)}
+        spans = [(i, *(place[x] for x in ends(brackets[i]))) for i in by_column[c]]
+        covered.append([[i for i, low, high in spans if low <= k < high] for k in range(len(points) - 1)])
+    steps = [f"step_{j}" for j in range(len(names))]
+    # a column without ends needs no lookup; the lookup asks for one inner end at least
+    cut = [j for j, points in enumerate(splits) if len(points) > 2]
+    placed = values.select(*names)
+    if cut:
+        placed = Bucketizer(
+            inputCols=[names[j] for j in cut],
+            outputCols=[steps[j] for j in cut],
+            splitsArray=[splits[j] for j in cut],
+            handleInvalid="keep",
+        ).transform(placed)
+    pairs = []
+    for j, c in enumerate(names):
+        step = F.col(steps[j]).cast("int") if j in cut else F.when(F.col(c).isNotNull(), F.lit(0))
+        cells = F.from_json(F.lit(json.dumps(covered[j])), "array<array<int>>")
+        pairs.append(F.struct(F.get(cells, step).alias("cells"), F.col(c).alias("value")))
+    hit = placed.select(F.inline(F.array(*pairs))).where(F.size("cells") > 0)
+    return hit.select(F.explode("cells").alias("cell"), "value")
 
 
 def exact_quantiles(
