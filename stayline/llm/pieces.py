@@ -42,6 +42,7 @@ from stayline.session import new_path, stage
 MODEL = "piece_bpe_32k.model"
 BLOCK_CHARS = 4_000_000
 SHARD_WORDS = 100_000
+TASK_WORDS = 100_000
 _WORD = re.compile(r" ?[^\W\d_]{1,63}| ?(?:[\d_]|[^\w \n]){1,63}| |\n")
 _MARK = "▁"
 #: Edges as one number: a word has fewer than _SIDE characters, a vocabulary fewer than _IDS pieces.
@@ -89,7 +90,7 @@ def split_words(text: str | None) -> list[str]:
     return _WORD.findall(f" {text}") if text else []
 
 
-def lattice_paths(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def lattice_paths(words: DataFrame, vocabulary: Vocabulary, tasks: int) -> DataFrame:
     """``words`` (columns part, number and word; part and number name a word) with ``ids``, the
     best path of each word, without ``word``.
 
@@ -98,8 +99,9 @@ def lattice_paths(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     as one number, (end, begin, id), the id -1 where the character has no piece.
     """
     size = F.length("word")
+    # a small input grows a hundredfold here: as many partitions as its words need, not its bytes
     named = words.withColumn("name", F.shiftleft(F.col("part").cast("long"), 32) + F.col("number"))
-    dealt = named.select("name", "word").repartition("name")
+    dealt = named.select("name", "word").repartition(tasks, "name")
     starts = dealt.select("name", "word", F.explode(F.sequence(F.lit(1), size)).alias("start"))
     most = F.least(F.lit(vocabulary.longest), size - F.col("start") + 1)
     spans = starts.select("name", "word", "start", F.explode(F.sequence(F.lit(1), most)).alias("length"))
@@ -139,23 +141,35 @@ def lattice_paths(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             F.when(piece >= 0, F.array(piece)).otherwise(as_bytes).alias("ids"),
         )
 
-    lattice = grouped.select("name", F.length("word").alias("size"), F.transform("edges", opened).alias("edges"))
-
-    def best(paths: Column, end: Column) -> Column:
-        into = F.filter("edges", lambda e: e["end"] == end)
-        longer = F.transform(into, lambda e: _extended(F.get(paths, e["begin"]), e))
-        return F.concat(paths, F.array(F.array_max(longer)))
-
     nothing = F.array(
         F.struct(
             F.lit(0.0).alias("score"),
             F.lit(0).alias("fewer"),
-            F.array().cast("array<int>").alias("lengths"),
             F.array().cast("array<int>").alias("ids"),
         )
     )
-    paths = F.aggregate(F.sequence(F.lit(1), F.col("size")), nothing, best, lambda p: F.element_at(p, -1)["ids"])
-    return lattice.select(
+
+    def folded(edges: Column) -> Column:
+        def best(paths: Column, end: Column) -> Column:
+            into = F.filter(edges, lambda e: e["end"] == end)
+            last = F.array_max(F.transform(into, lambda e: _extended(F.get(paths, e["begin"]), e)))
+            longer = F.transform(
+                F.array(last),
+                lambda m: F.struct(
+                    m["score"].alias("score"),
+                    m["fewer"].alias("fewer"),
+                    F.concat(F.get(paths, end - m["length"])["ids"], m["ids"]).alias("ids"),
+                ),
+            )
+            return F.concat(paths, longer)
+
+        return F.aggregate(
+            F.sequence(F.lit(1), F.length("word")), nothing, best, lambda p: F.element_at(p, -1)["ids"]
+        )
+
+    # transform over one element names the opened edges once, so that they are computed once
+    paths = F.get(F.transform(F.array(F.transform("edges", opened)), folded), F.lit(0))
+    return grouped.select(
         F.shiftright("name", 32).cast("int").alias("part"),
         F.col("name").bitwiseAND(F.lit(0xFFFFFFFF)).alias("number"),
         paths.alias("ids"),
@@ -163,12 +177,13 @@ def lattice_paths(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def _extended(path: Column, edge: Column) -> Column:
-    """A path and one more edge; the order of these structs is the order of preference."""
+    """What an edge makes of the path before it. The order of these structs is the order of
+    preference: paths to one end whose last pieces are as long have the same beginning."""
     return F.struct(
         (path["score"] + edge["score"]).alias("score"),
         (path["fewer"] - F.size(edge["ids"])).alias("fewer"),
-        F.concat(F.array((edge["end"] - edge["begin"]).cast("int")), path["lengths"]).alias("lengths"),
-        F.concat(path["ids"], edge["ids"]).alias("ids"),
+        (edge["end"] - edge["begin"]).alias("length"),
+        edge["ids"].alias("ids"),
     )
 
 
@@ -279,7 +294,8 @@ def encode(
     """doc_id, n_words, n_pieces and ids for every row of ``docs``."""
     vocabulary = Vocabulary(path or model_path())
     blocks = _bucketed(make_blocks(docs, block_chars))
-    shards = max(8, -(-int(blocks.agg(F.sum("n_words")).first()[0] or 0) // shard_words))
+    distinct_most = int(blocks.agg(F.sum("n_words")).first()[0] or 0)  # words of two blocks count twice
+    shards = max(8, -(-distinct_most // shard_words))
     lists = word_lists(blocks, shards)
 
     def distinct(lists: pd.DataFrame) -> pd.DataFrame:
@@ -287,7 +303,8 @@ def encode(
         return pd.DataFrame({"part": lists["part"].iloc[0], "number": range(len(words)), "word": words})
 
     words = lists.groupBy("part").applyInPandas(distinct, "part int, number long, word string")
-    paths = stage(lattice_paths(words, vocabulary), "paths")
+    tasks = max(8, -(-distinct_most // TASK_WORDS))
+    paths = stage(lattice_paths(words, vocabulary, tasks), "paths")
 
     def answer(lists: pa.Table, paths: pa.Table) -> pa.Table:
         paths = paths.sort_by("number")  # the numbers of the words in alphabetical order
