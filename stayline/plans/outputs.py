@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stayline.plans.churn import ChurnAnalysis, add_business_features
 from stayline.plans.experiment import ExperimentAnalysis
@@ -36,12 +37,14 @@ def campaign_outputs(
     *,
     retained_customer_value: float = 480.0,
     campaign_cost: float = 10.0,
+    key: str = "campaign_row_id",
 ) -> dict[str, DataFrame]:
+    """Every campaign result by the name of its folder; only sinks are sorted."""
     return {
         "campaign_sql": campaign,
         "ab_test_summary": analysis.ab_summary,
         "bayesian_ab_summary": analysis.bayesian_summary,
-        "uplift_customer_scores": analysis.scored_customers,
+        "uplift_customer_scores": analysis.scored_customers.orderBy(F.desc("predicted_uplift"), key),
         "uplift_deciles": analysis.uplift_deciles,
         "qini_curve": analysis.qini_curve,
         "campaign_policy_results": analysis.policy_comparison,
