@@ -1,12 +1,16 @@
 """SentencePiece encoding and decoding over a given piece table.
 
 Encoding is relational. Texts are cut into words: a run of letters or of other characters,
-with the space before it; line breaks and further spaces stand alone. Of the distinct words
+with all spaces before it; line breaks, and spaces before one, stand alone. No piece crosses
+such a cut, so the words' best paths make up the text's; with a piece table where one does,
+the whole text is one word. Of the distinct words
 of all documents every substring up to the longest piece is exploded and equi-joined to the
 piece table; the matches are the edges of each word's lattice. They are grouped by word, and
 a higher-order aggregate folds them into the best path (Viterbi): the largest sum of piece
 scores, then the fewest pieces, then the longest last piece, and so on backwards. A character without
-a piece becomes its UTF-8 bytes, at a cost below any piece's. The words' paths go back to
+a piece becomes its UTF-8 bytes, at a cost below any piece's. Words of more than 63 characters
+are never cut: their paths are found, by the same order, where their shard answers, in steps
+that grow with their length only. The words' paths go back to
 the documents through blocks of documents, each of which asks for its distinct words once.
 Blocks are written bucketed, so that answers are shuffled to them and they stay in place.
 
@@ -14,9 +18,8 @@ The text is taken with one space in front, which decoding takes away again; a pi
 space mark is a space here, so that a mark in the text itself is kept by its bytes, and
 ``decode`` gives back exactly what ``encode`` read.
 
-Defined results: null and empty texts have no pieces; runs of more than 63 characters are cut
-after each 63; repeated rows each give their result; a null doc_id stays null; other columns
-are not read. An empty table gives no rows.
+Defined results: null and empty texts have no pieces; repeated rows each give their result; a
+null doc_id stays null; other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,7 +46,11 @@ MODEL = "piece_bpe_32k.model"
 BLOCK_CHARS = 4_000_000
 SHARD_WORDS = 100_000
 TASK_WORDS = 100_000
-_WORD = re.compile(r" ?[^\W\d_]{1,63}| ?(?:[\d_]|[^\w \n]){1,63}| |\n")
+#: Longer words are no rows of the lattice.
+SHORT_CHARS = 63
+#: A square sign goes with the other characters: a piece joins it to a full stop.
+_WORD = re.compile(r" *+[^\W\d_²]+| *+(?:[\d_²]|[^\w \n])+| +|\n")
+_WHOLE = re.compile(r"(?s).+")
 _MARK = "▁"
 #: Edges as one number: a word has fewer than _SIDE characters, a vocabulary fewer than _IDS pieces.
 _SIDE, _IDS = 128, 2**32
@@ -71,6 +78,7 @@ class Vocabulary:
             if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
         }
         self.longest = max(map(len, self.pieces))
+        self.word = _WHOLE if any(len(_WORD.findall(p)) > 1 for p in self.pieces) else _WORD
         self.byte_cost = min(score for _, score in self.pieces.values()) - 10.0
         self.bytes_of = {i: p.encode() for p, (i, _) in self.pieces.items()} | {
             i: bytes([b]) for b, i in enumerate(self.byte_ids)
@@ -86,8 +94,38 @@ class Vocabulary:
         return F.from_json(F.lit(json.dumps(known)), "array<double>")
 
 
-def split_words(text: str | None) -> list[str]:
-    return _WORD.findall(f" {text}") if text else []
+def split_words(text: str | None, word: re.Pattern = _WORD) -> list[str]:
+    return word.findall(f" {text}") if text else []
+
+
+def long_path(word: str, pieces: dict, byte_ids: list[int], byte_cost: float, longest: int) -> list[int]:
+    """The best path of a word of any length.
+
+    Of two paths with the same score and number of pieces the one with the longer last piece is
+    better, and paths to one place with equal last pieces have the same beginning.
+    """
+    best, last = [(0.0, 0)], [(0, ())]
+    for end in range(1, len(word) + 1):
+        top, step = None, None
+        for begin in range(max(0, end - longest), end):  # the longest piece first
+            known = pieces.get(word[begin:end])
+            if known:
+                ids, cost = (known[0],), known[1]
+            elif end - begin == 1:
+                ids, cost = tuple(byte_ids[b] for b in word[begin].encode()), byte_cost
+            else:
+                continue
+            score, fewer = best[begin]
+            into = (score + cost, fewer - len(ids))
+            if top is None or into > top:
+                top, step = into, (begin, ids)
+        best.append(top)
+        last.append(step)
+    steps, end = [], len(word)
+    while end:
+        end, ids = last[end]
+        steps.append(ids)
+    return list(chain.from_iterable(reversed(steps)))
 
 
 def lattice_paths(words: DataFrame, vocabulary: Vocabulary, tasks: int) -> DataFrame:
@@ -187,7 +225,7 @@ def _extended(path: Column, edge: Column) -> Column:
     )
 
 
-def make_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def make_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS, word: re.Pattern = _WORD) -> DataFrame:
     """Documents in blocks: ids, words in each, the block's distinct words in alphabetical
     order, their ranks by frequency, and every word of the texts by its rank."""
     names = ["block", "doc_ids", "lengths", "words", "ranks", "tokens", "n_words"]
@@ -209,7 +247,7 @@ def make_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids.append(doc_id)
-                texts.append(split_words(text))
+                texts.append(split_words(text, word))
                 size += len(text or "")
                 if size >= block_chars:
                     yield block(number, ids, texts)
@@ -250,16 +288,18 @@ def _joined(words: list[str]) -> bytes:
         shared.append(n)
         rest.append(word[n:])
         last = word
-    lengths = np.array([shared, [len(r) for r in rest]], np.uint8)
+    lengths = np.array([shared, [len(r) for r in rest]], "<u4")
+    planes = lengths.view(np.uint8).reshape(-1, 4).T  # all low bytes first: the others are nearly all 0
     letters = "".join(rest).encode()
-    return pack(np.r_[np.array([len(words)], "<u4").view(np.uint8), lengths.ravel(), np.frombuffer(letters, np.uint8)])
+    return pack(np.r_[np.array([len(words)], "<u4").view(np.uint8), planes.ravel(), np.frombuffer(letters, np.uint8)])
 
 
 def _cut(data: bytes) -> list[str]:
     flat = unpack(data, np.uint8)
     n = int(flat[:4].view("<u4")[0])
-    shared, sizes = flat[4 : 4 + n].tolist(), flat[4 + n : 4 + 2 * n].tolist()
-    letters = flat[4 + 2 * n :].tobytes().decode()
+    lengths = np.ascontiguousarray(flat[4 : 4 + 8 * n].reshape(4, 2 * n).T).view("<u4").ravel()
+    shared, sizes = lengths[:n].tolist(), lengths[n:].tolist()
+    letters = flat[4 + 8 * n :].tobytes().decode()
     words, last, at = [], "", 0
     for keep, size in zip(shared, sizes, strict=True):
         last = last[:keep] + letters[at : at + size]
@@ -293,13 +333,14 @@ def encode(
 ) -> DataFrame:
     """doc_id, n_words, n_pieces and ids for every row of ``docs``."""
     vocabulary = Vocabulary(path or model_path())
-    blocks = _bucketed(make_blocks(docs, block_chars))
+    known = (vocabulary.pieces, vocabulary.byte_ids, vocabulary.byte_cost, vocabulary.longest)
+    blocks = _bucketed(make_blocks(docs, block_chars, vocabulary.word))
     distinct_most = int(blocks.agg(F.sum("n_words")).first()[0] or 0)  # words of two blocks count twice
     shards = max(8, -(-distinct_most // shard_words))
     lists = word_lists(blocks, shards)
 
     def distinct(lists: pd.DataFrame) -> pd.DataFrame:
-        words = sorted(set(chain.from_iterable(map(_cut, lists["words"]))))
+        words = sorted(w for w in set(chain.from_iterable(map(_cut, lists["words"]))) if len(w) <= SHORT_CHARS)
         return pd.DataFrame({"part": lists["part"].iloc[0], "number": range(len(words)), "word": words})
 
     words = lists.groupBy("part").applyInPandas(distinct, "part int, number long, word string")
@@ -307,18 +348,24 @@ def encode(
     paths = stage(lattice_paths(words, vocabulary, tasks), "paths")
 
     def answer(lists: pa.Table, paths: pa.Table) -> pa.Table:
-        paths = paths.sort_by("number")  # the numbers of the words in alphabetical order
-        ids = paths["ids"].combine_chunks()
-        offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+        paths = paths.sort_by("number")  # the numbers of the short words in alphabetical order
+        offsets, values = np.zeros(1, np.int64), np.empty(0, np.int32)
+        if paths.num_rows:
+            ids = paths["ids"].combine_chunks()
+            offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
         cut = [_cut(x) for x in lists["words"].to_pylist()]
-        number = {w: i for i, w in enumerate(sorted(set(chain.from_iterable(cut))))}
+        words = sorted(set(chain.from_iterable(cut)), key=lambda w: (len(w) > SHORT_CHARS, w))
+        number = {w: i for i, w in enumerate(words)}
+        longs = [np.array(long_path(w, *known), np.int32) for w in words[paths.num_rows :]]
+        offsets = np.r_[offsets, offsets[-1] + np.cumsum([len(x) for x in longs], dtype=np.int64)]
+        values = np.concatenate([values, *longs])
         rows = []
         for part, block, words in zip(lists["part"].to_pylist(), lists["block"].to_pylist(), cut, strict=True):
             at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
             sizes = offsets[at + 1] - offsets[at]
             found = np.repeat(offsets[at], sizes) + _inside(sizes)
             rows.append(
-                {"block": block, "part": part, "sizes": pack(sizes.astype(np.uint8)), "ids": pack_ranks(values[found])}
+                {"block": block, "part": part, "sizes": pack_ranks(sizes), "ids": pack_ranks(values[found])}
             )
         schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
         return pa.Table.from_pylist(rows, schema)
@@ -339,7 +386,7 @@ def encode(
         sizes, ids = np.empty(0, np.int64), np.empty(0, np.uint32)
         found = sorted(answers.to_pylist(), key=lambda r: r["part"])
         if found:
-            sizes = np.concatenate([unpack(r["sizes"], np.uint8) for r in found]).astype(np.int64)
+            sizes = np.concatenate([unpack_ranks(r["sizes"]) for r in found]).astype(np.int64)
             ids = np.concatenate([unpack_ranks(r["ids"]) for r in found])
         # answers come by shard; `place` is where the word of each rank is among them
         order = np.argsort(_parts(_cut(row["words"]), shards), kind="stable")

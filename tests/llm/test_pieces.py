@@ -61,5 +61,27 @@ def test_cutting_at_words_loses_no_piece(vocabulary):
     assert len(crossing) <= 1  # one rare sign before a full stop
 
 
+WHOLE = [
+    "def f(x):\n" + " " * 16 + "return  x" + " " * 37 + "# end   \n\n" + " " * 8,
+    "a   1\t\t  2  |" + "-" * 150 + "|" + " " * 140 + "\n" + "=" * 64,
+    "漢字仮名交文日本語" * 20 + "ab" * 40 + "QWxhZGRpbjpvcGVuIHNlc2FtZQ" * 5,
+    "12 m². and x²" + "é" * 62 + "in" * 30 + " " * 17,
+]
+
+
+def test_paths_are_those_of_whole_texts(rows, vocabulary):
+    docs = rows(list(enumerate(WHOLE)), "doc_id long, text string")
+    found = pieces.decode(pieces.encode(docs, block_chars=300, shard_words=10)).collect()
+    assert len(found) == len(WHOLE)
+    for r in found:
+        assert tuple(r.ids) == best(f" {WHOLE[r.doc_id]}", vocabulary)
+        assert r.text == WHOLE[r.doc_id]
+
+
+def test_no_piece_crosses_a_cut(vocabulary):
+    assert not [p for p in vocabulary.pieces if len(pieces._WORD.findall(p)) > 1]
+    assert vocabulary.word is pieces._WORD
+
+
 def test_empty(rows):
     assert pieces.encode(rows([], "doc_id long, text string")).count() == 0
