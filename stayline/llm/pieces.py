@@ -227,37 +227,41 @@ def _extended(path: Column, edge: Column) -> Column:
 
 def make_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS, word: re.Pattern = _WORD) -> DataFrame:
     """Documents in blocks: ids, words in each, the block's distinct words in alphabetical
-    order, their ranks by frequency, and every word of the texts by its rank."""
-    names = ["block", "doc_ids", "lengths", "words", "ranks", "tokens", "n_words"]
-    kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64()]
+    order, their ranks by frequency, and every word of the texts by its rank; a column of
+    ``docs`` named digest goes along."""
+    names = ["block", "doc_ids", "digests", "lengths", "words", "ranks", "tokens", "n_words"]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), *[pa.binary()] * 4, pa.int64()]
+    digest = F.col("digest") if "digest" in docs.columns else F.lit(None).cast("binary")
 
-    def block(number: int, ids: list, texts: list[list[str]]) -> pa.RecordBatch:
+    def block(number: int, ids: list, digests: list, texts: list[list[str]]) -> pa.RecordBatch:
         often = [w for w, _ in Counter(chain.from_iterable(texts)).most_common()]
         rank = dict(zip(often, range(len(often)), strict=True))
         tokens = np.fromiter(map(rank.__getitem__, chain.from_iterable(texts)), np.uint32)
         words = sorted(often)
         ranks = np.fromiter(map(rank.__getitem__, words), np.uint32, len(words))
         lengths = np.array([len(t) for t in texts], np.int32)
-        values = [number, ids, pack(lengths), _joined(words), pack_ranks(ranks), pack_ranks(tokens), len(words)]
+        packed = [pack(lengths), _joined(words), pack_ranks(ranks), pack_ranks(tokens)]
+        values = [number, ids, digests, *packed, len(words)]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        ids, texts, size = [], [], 0
+        ids, digests, texts, size = [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids.append(doc_id)
+                digests.append(known)
                 texts.append(split_words(text, word))
                 size += len(text or "")
                 if size >= block_chars:
-                    yield block(number, ids, texts)
-                    number, ids, texts, size = number + 1, [], [], 0
+                    yield block(number, ids, digests, texts)
+                    number, ids, digests, texts, size = number + 1, [], [], [], 0
         if ids:
-            yield block(number, ids, texts)
+            yield block(number, ids, digests, texts)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long"), "text", digest.alias("digest")).mapInArrow(
         run,
-        "block long, doc_ids array<long>, lengths binary, words binary, ranks binary, tokens binary, n_words long",
+        "block long, doc_ids array<long>, digests array<binary>, lengths binary, words binary, ranks binary, tokens binary, n_words long",
     )
 
 
@@ -332,7 +336,12 @@ def encode(
     docs: DataFrame, path: str | None = None, block_chars: int = BLOCK_CHARS, shard_words: int = SHARD_WORDS
 ) -> DataFrame:
     """doc_id, n_words, n_pieces and ids for every row of ``docs``."""
-    vocabulary = Vocabulary(path or model_path())
+    docs = docs.select("doc_id", "text")
+    return _encoded(docs, Vocabulary(path or model_path()), block_chars, shard_words).drop("digest")
+
+
+def _encoded(docs: DataFrame, vocabulary: Vocabulary, block_chars: int, shard_words: int) -> DataFrame:
+    """``encode`` with the column digest of ``docs``, null where it has none."""
     known = (vocabulary.pieces, vocabulary.byte_ids, vocabulary.byte_cost, vocabulary.longest)
     blocks = _bucketed(make_blocks(docs, block_chars, vocabulary.word))
     distinct_most = int(blocks.agg(F.sum("n_words")).first()[0] or 0)  # words of two blocks count twice
@@ -377,9 +386,9 @@ def encode(
     )
 
     def assemble(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ["doc_id", "n_words", "n_pieces", "ids"]
+        names = ["doc_id", "n_words", "n_pieces", "ids", "digest"]
         if not blocks.num_rows:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
             return pa.table([pa.array([], k) for k in kinds], names)
         row = blocks.to_pylist()[0]
         tokens, lengths = unpack_ranks(row["tokens"]), unpack(row["lengths"], np.int32)
@@ -403,15 +412,16 @@ def encode(
                 pa.array(lengths.astype(np.int64)),
                 pa.array(np.diff(ends).astype(np.int64)),
                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values)),
+                pa.array(row["digests"], pa.binary()),
             ],
             names,
         )
 
     return (
-        blocks.select("block", "doc_ids", "lengths", "words", "ranks", "tokens")
+        blocks.select("block", "doc_ids", "digests", "lengths", "words", "ranks", "tokens")
         .groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(assemble, "doc_id long, n_words long, n_pieces long, ids array<int>")
+        .applyInArrow(assemble, "doc_id long, n_words long, n_pieces long, ids array<int>, digest binary")
     )
 
 
@@ -422,10 +432,31 @@ def _inside(sizes: np.ndarray) -> np.ndarray:
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` with ``text``: the bytes of its ids, without the leading space."""
-    bytes_of = Vocabulary(path or model_path()).bytes_of
+    return _decoded(encoded, Vocabulary(path or model_path()))
+
+
+def _decoded(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    bytes_of = vocabulary.bytes_of
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
         return ids.map(lambda x: b"".join(bytes_of[i] for i in x).decode()[1:])
 
     return encoded.withColumn("text", text("ids"))
+
+
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def round_trip(
+    docs: DataFrame, path: str | None = None, block_chars: int = BLOCK_CHARS, shard_words: int = SHARD_WORDS
+) -> DataFrame:
+    """``encode`` with text_sha256, the digest of the text decoded from the ids, and round_trip,
+    whether it is the digest of the text that was read. A null text counts as empty."""
+    vocabulary = Vocabulary(path or model_path())
+    read = docs.select("doc_id", "text", F.unhex(_digest(F.col("text"))).alias("digest"))
+    decoded = _decoded(_encoded(read, vocabulary, block_chars, shard_words), vocabulary)
+    found = decoded.withColumn("text_sha256", _digest(F.col("text")))
+    equal = F.unhex("text_sha256") == F.col("digest")
+    return found.select("doc_id", "n_words", "n_pieces", "ids", "text_sha256", equal.alias("round_trip"))

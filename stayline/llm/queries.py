@@ -92,4 +92,4 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_sentencepiece")
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"))
+    return pieces.round_trip(table(spark, sf_dir, "documents"))

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from stayline.llm import pieces
@@ -78,6 +80,25 @@ def test_paths_are_those_of_whole_texts(rows, vocabulary):
         assert r.text == WHOLE[r.doc_id]
 
 
+def test_round_trip_tells_what_was_decoded(rows):
+    data = [(i, t, b"x") for i, t in enumerate(TEXTS + WHOLE)] + [(4, TEXTS[4], None), (None, "no id", None)]
+    docs = rows(data, "doc_id long, text string, digest binary").repartition(3)
+    found = pieces.round_trip(docs, block_chars=3_000, shard_words=10).collect()
+    assert len(found) == len(data)
+    for r in found:
+        text = "no id" if r.doc_id is None else (TEXTS + WHOLE)[r.doc_id]
+        assert r.text_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+        assert r.round_trip is True
+
+
+def test_the_query_decodes_every_document(spark):
+    from stayline.llm.queries import op5_sentencepiece
+
+    found = op5_sentencepiece(spark, "/root/testdata/sf0.001")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert found.where("round_trip").count() == docs.count()
+
+
 def test_no_piece_crosses_a_cut(vocabulary):
     assert not [p for p in vocabulary.pieces if len(pieces._WORD.findall(p)) > 1]
     assert vocabulary.word is pieces._WORD
