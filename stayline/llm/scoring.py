@@ -36,7 +36,7 @@ from stayline.llm.packing import pack, pack_ranks, unpack, unpack_ranks
 from stayline.llm.words import hash_words
 from stayline.session import stage
 
-ORDER = 2
+ORDER = 3
 DISCOUNT = 0.75
 BLOCK_BYTES = 8_000_000
 SHARD_TOKENS = 1_500_000

@@ -104,3 +104,14 @@ def test_the_model_predicts_held_out_texts_better_than_its_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = scoring.score_texts(docs).where("held_out").selectExpr("sum(base_score) base", "sum(score) score", "sum(n_tokens) n").first()
     assert held.score / held.n > held.base / held.n + 0.3
+
+
+def test_the_query_scores_histories_of_two_words(spark):
+    from stayline.llm.queries import op1_lm_scoring
+
+    sf = "/root/testdata/sf0.001"
+    data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in op1_lm_scoring(spark, sf).collect())
+    for g, e in zip(got, brute(data, 3), strict=True):
+        assert g[:5] == e[:5]
+        assert abs(g[6] - e[6]) <= 0.09 * e[2]
