@@ -1,10 +1,10 @@
 """Secret scans with DataFrame functions only.
 
-Base kinds are found by pattern. Further candidates are long tokens of mixed characters;
-their encoding is inferred, and a battery of three tests asks whether the token could be a
+Base kinds are found by pattern. Further candidates are tokens of 16 characters or more, with
+the padding behind them; their encoding is inferred, and a battery of four tests asks whether the token could be a
 uniformly random string of that encoding: chi-squared uniformity of the alphabet, the
-number of runs above and below the middle of the alphabet, and the serial correlation of
-neighbours. The three p-values are combined by Fisher's method. Which tokens are rejected
+number of runs above and below the middle of the alphabet, the serial correlation of
+neighbours, and the shares of capitals, small letters and other signs. The four p-values are combined by Fisher's method. Which tokens are rejected
 as not random is decided by the false-discovery procedure of Benjamini and Hochberg over
 all documents, within each encoding and length band, so that short tokens, for which the
 tests have little power, do not set the bar for long ones. What is not rejected is a secret.
@@ -22,14 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "random")
-LEAST_ASSIGN, LEAST_ACCESS, LEAST_TOKEN = 8, 16, 24
+LEAST_ASSIGN, LEAST_ACCESS, LEAST_TOKEN = 8, 16, 16
 #: The base patterns, letters of the keywords in either case. The least length
 #: of hex and access belongs to the pattern, since their matches are whole runs either way.
 PATTERNS = {
     "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": rf"AKIA[A-Z0-9]{{{LEAST_ACCESS - 4},}}",
     "hex": r"(?<![0-9a-f])[0-9a-f]{32,}",
-    "random": rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_TOKEN},}}",
+    "random": rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_TOKEN},}}=*",
 }
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Which tokens an encoding fits, and its alphabet in the order of values; the first fit counts.
@@ -123,6 +123,14 @@ def _fisher(token: Column) -> Column:
 
         start = F.struct(F.lit(None).cast("double").alias("x"), F.lit(0.0).alias("turns"), F.lit(0.0).alias("products"))
         walked = F.aggregate(F.split(token, ""), start, neighbour)
+
+        def off(signs: str) -> Column:
+            share = F.length(F.regexp_replace(alphabet, signs, "")) / k
+            seen = F.length(F.regexp_replace(token, signs, ""))
+            return F.when(share > 0, F.pow(seen - n * share, F.lit(2.0)) / (n * share)).otherwise(0.0)
+
+        both = alphabet.rlike("[A-Z]") & alphabet.rlike("[a-z]")
+        mixture = off("[^A-Z]") + off("[^a-z]") + off("[A-Za-z]")
         return F.struct(
             known["encoding"].alias("encoding"),
             n.alias("n"),
@@ -130,6 +138,8 @@ def _fisher(token: Column) -> Column:
             (k / n * squares - n).alias("statistic"),
             walked["turns"].alias("turns"),
             (walked["products"] / spread).alias("products"),
+            both.alias("both"),
+            mixture.alias("mixture"),
         )
 
     def combined(t: Column) -> Column:
@@ -143,8 +153,11 @@ def _fisher(token: Column) -> Column:
         uniform = F.greatest(F.when(z > 0, tail).otherwise(1 - tail), F.lit(1e-300))
         runs = _two_sided((t["turns"] - (n - 1) / 2) / (F.sqrt(n - 1) / 2))
         serial = _two_sided(t["products"] / F.sqrt(n - 1))
-        half = -(F.log(uniform) + F.log(runs) + F.log(serial))
-        power = (half - F.log(1 + half + half * half / 2)) / math.log(10)
+        # three classes of signs have two degrees of freedom, two classes one
+        mixture = F.when(t["both"], F.exp(-t["mixture"] / 2)).otherwise(_two_sided(F.sqrt(t["mixture"])))
+        mixture = F.least(F.greatest(mixture, F.lit(1e-300)), F.lit(1.0))
+        half = -(F.log(uniform) + F.log(runs) + F.log(serial) + F.log(mixture))
+        power = (half - F.log(1 + half + half * half / 2 + half * half * half / 6)) / math.log(10)
         return F.struct(
             t["encoding"].alias("encoding"),
             F.floor(F.log2(n)).cast("int").alias("band"),
@@ -183,7 +196,6 @@ def find_places(docs: DataFrame) -> DataFrame:
     found = found.select(*names, F.struct(*[_places(k).alias(k) for k in KINDS]).alias(_PLACES))
     places = {k: F.col(_PLACES)[k] for k in KINDS}
     places["assign"] = F.filter(places["assign"], lambda s: F.length(s["token"]) >= LEAST_ASSIGN)
-    places["random"] = F.filter(places["random"], lambda s: s["token"].rlike("[0-9]") & s["token"].rlike("[A-Za-z]"))
     base = F.flatten(F.array(*[_typed(places[k], k) for k in KINDS[:3]]))
     found = found.select(
         *names, F.struct(F.array_sort(base).alias("base"), places["random"].alias("random")).alias(_PLACES)
@@ -193,7 +205,7 @@ def find_places(docs: DataFrame) -> DataFrame:
         lambda c: ~F.exists(F.col(_PLACES)["base"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
     )
     tested = F.transform(
-        outside, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _fisher(c["token"]).alias("test"))
+        outside, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _fisher(F.rtrim(c["token"], F.lit("="))).alias("test"))
     )
     return found.select(*names, F.struct(F.col(_PLACES)["base"].alias("base"), tested.alias("random")).alias(_PLACES))
 

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import re
@@ -101,3 +102,12 @@ def test_false_discovery_threshold_by_definition():
     assert 5 < bars[(1, 5)] <= 200
     # all look random: nothing is rejected
     assert secrets.rejected_from(Found({0: 50, 10: 50}), 0.01)[(1, 5)] > 200
+
+
+def test_short_padded_and_digitless_keys_are_found(rows):
+    keys = [base64.b64encode(random.Random(i).randbytes(16)).decode() for i in range(20)]
+    keys += [token(BASE62, n, n) for n in (16, 19, 23)] + [token(string.ascii_letters, 24, 9)]
+    docs = rows([(i, f"say {k} now") for i, k in enumerate(keys)], "doc_id long, text string")
+    found = secrets.find_places(docs)
+    got = {r.doc_id: r.spans for r in secrets.digest(found, secrets.rejected_from(found)).collect()}
+    assert got == {i: f"random:4:{4 + len(k)}" for i, k in enumerate(keys)}
