@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import html, jaccard, licenses, mixing, neighbours, pieces, quality, scoring, secrets, warc
+from stayline.llm import (
+    copies,
+    html,
+    jaccard,
+    licenses,
+    manifest,
+    mixing,
+    neighbours,
+    oracles,
+    pieces,
+    quality,
+    scoring,
+    secrets,
+    variants,
+    warc,
+)
 from stayline.session import new_path, stage
 from stayline.workload.registry import query
 
@@ -93,3 +108,28 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_sentencepiece")
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_variants", oracles.VARIANTS)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+@query("op12_exact_dedup", oracles.COPIES)
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.copy_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op13_merkle_manifest", oracles.MANIFEST)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changes = {"n_chars": F.col("n_chars").cast("decimal(38,0)") + 1}
+    return manifest.manifest(docs, tampered, changes).select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.array_join("proof", "").cast("binary"), 256).alias("proof_sha256"),
+        "folded_root",
+        "verified",
+    )
