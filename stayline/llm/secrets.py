@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayline.session import stage
+
 KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_TOKEN = 8, 16, 16
 #: The base patterns, letters of the keywords in either case. The least length
@@ -284,8 +286,12 @@ def digest(found: DataFrame, bars: dict[tuple[int, int], int]) -> DataFrame:
 
 
 def redact(docs: DataFrame, level: float = FALSE_DISCOVERY) -> DataFrame:
-    """``docs`` with every secret span replaced by REDACTED, and n_chars brought up to date."""
-    found = find_places(docs)
+    """``docs`` with every secret span replaced by REDACTED, and n_chars brought up to date.
+
+    The places are staged with the rows: both the counts for the bars and the new texts read
+    them, and neither plan then holds the patterns and tests.
+    """
+    found = stage(find_places(docs), "places")
     spans = all_spans(found, rejected_from(found, level))
     text = F.col("text")
 

@@ -111,3 +111,10 @@ def test_short_padded_and_digitless_keys_are_found(rows):
     found = secrets.find_places(docs)
     got = {r.doc_id: r.spans for r in secrets.digest(found, secrets.rejected_from(found)).collect()}
     assert got == {i: f"random:4:{4 + len(k)}" for i, k in enumerate(keys)}
+
+
+def test_redaction_reads_staged_places(spark, rows):
+    docs = rows([(1, "password = abcdefgh12", 21), (2, None, None)], "doc_id long, text string, n_chars long")
+    plan = secrets.redact(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "places-" in plan or "__places" in plan
+    assert "regexp_extract_all" not in plan
