@@ -9,14 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stayline.models.forests import ForestClassifier
 from stayline.models.prep import Preprocessor, build_preprocessor
 
 LABEL = "label"
@@ -24,13 +21,13 @@ WEIGHT = "_weight"
 
 # The default settings of each model.
 LOGISTIC = {"max_iter": 1500, "c": 1.0}
-FOREST = {"trees": 350, "min_leaf": 6, "max_depth": 12}
+FOREST = {"trees": 350, "min_leaf": 6}
 GRADIENT_BOOSTING = {"iterations": 250, "step": 0.06, "max_depth": 5}
 SAMPLED_BOOSTING = {
     "iterations": 250, "step": 0.05, "max_depth": 4, "row_share": 0.8, "column_share": "0.8",
 }
 SMALL_BOOSTING = {"iterations": 250, "step": 0.05, "max_depth": 5}
-CAMPAIGN_FOREST = {"trees": 350, "min_leaf": 20, "max_depth": 12}
+CAMPAIGN_FOREST = {"trees": 350, "min_leaf": 20}
 
 
 class BalancedClassifier(Estimator):
@@ -58,10 +55,6 @@ class BalancedClassifier(Estimator):
         return self.inner.fit(dataset.withColumn(WEIGHT, weight), extra)
 
 
-def balanced(inner: Estimator, label: str = LABEL) -> BalancedClassifier:
-    return BalancedClassifier(inner, label)
-
-
 def logistic(*, max_iter: int = 1500, c: float = 1.0) -> Estimator:
     model = LogisticRegression(
         labelCol=LABEL, maxIter=max_iter, standardization=False, elasticNetParam=0.0
@@ -76,21 +69,13 @@ def forest(
     *,
     trees: int,
     min_leaf: int,
-    max_depth: int,
-    prefix: str = "",
-) -> RandomForestClassifier:
-    names = {
-        f"{c}Col": f"{prefix}{c}" for c in ("rawPrediction", "probability", "prediction")
-    } if prefix else {}
-    return RandomForestClassifier(
-        featuresCol=features,
-        labelCol=label,
-        numTrees=trees,
-        minInstancesPerNode=min_leaf,
-        maxDepth=max_depth,
-        featureSubsetStrategy="sqrt",
-        seed=seed,
-        **names,
+    max_depth: int | None = None,
+    class_weight: str | None = None,
+    key: str | None = None,
+) -> ForestClassifier:
+    return ForestClassifier(
+        trees=trees, min_leaf=min_leaf, max_depth=max_depth, class_weight=class_weight,
+        seed=seed, label=label, features=features, key=key,
     )
 
 
@@ -133,7 +118,7 @@ def build_logistic_pca_model(
 def build_random_forest_model(
     df: DataFrame, features: Sequence[str], seed: int = 42, **settings
 ) -> Pipeline:
-    model = balanced(forest("features", LABEL, seed, **{**FOREST, **settings}))
+    model = forest("features", LABEL, seed, class_weight="all", **{**FOREST, **settings})
     return _pipeline(build_preprocessor(df, features), model)
 
 
@@ -190,7 +175,8 @@ def build_models(
 def campaign_pipeline(
     df: DataFrame, features: Sequence[str], seed: int, *, label: str = LABEL, **settings
 ) -> Pipeline:
-    """Median and mode fill, one-hot, balanced forest (no scaling)."""
+    """Median and mode fill, one-hot, and a forest whose trees balance the classes of their
+    own bootstrap (no scaling)."""
     prep = Preprocessor(list(features), scale=False)
-    model = balanced(forest("features", label, seed, **{**CAMPAIGN_FOREST, **settings}), label)
+    model = forest("features", label, seed, class_weight="drawn", **{**CAMPAIGN_FOREST, **settings})
     return _pipeline(prep, model)

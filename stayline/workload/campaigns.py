@@ -10,9 +10,6 @@ from stayline.plans import experiment, policy, reports, uplift
 from stayline.workload.registry import query, rounded
 from stayline.workload.views import load_view, oracle
 
-# The whole experiment and the effect forest run reduced here.
-SMALL_FOREST = {"trees": 20, "max_depth": 6}
-
 
 def campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_view(spark, sf_dir, "campaign")
@@ -546,14 +543,10 @@ def t_learner_in_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r_learner_scores")
 def r_learner_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = ["pc1", "pc2", "pc3", "factor1", "factor2"]
-    return uplift.causal_effect_forest(
-        campaign(spark, sf_dir), features, trees=20, max_depth=6
-    )[0]
+    return uplift.causal_effect_forest(campaign(spark, sf_dir), features)[0]
 
 
 @query("experiment_run")
 def experiment_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole analysis; returns its policy table."""
-    return experiment.run_experiment_analysis(
-        campaign(spark, sf_dir), **SMALL_FOREST
-    ).policy_comparison
+    return experiment.run_experiment_analysis(campaign(spark, sf_dir)).policy_comparison

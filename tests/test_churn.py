@@ -153,7 +153,7 @@ def test_models_score_every_row(customers):
 
 def test_default_settings():
     forest = classifiers.forest("features", "label", 1, **classifiers.FOREST)
-    assert (forest.getNumTrees(), forest.getMinInstancesPerNode()) == (350, 6)
+    assert (forest.trees, forest.min_leaf, forest.max_depth) == (350, 6, None)
     sampled = classifiers.boosting(1, **classifiers.SAMPLED_BOOSTING)
     assert (sampled.getMaxIter(), sampled.getMaxDepth(), sampled.getSubsamplingRate()) == (250, 4, 0.8)
 
@@ -208,30 +208,26 @@ def brute_shapley(tree, x):
     return phi, value(0, set())
 
 
-def test_tree_values_by_definition(spark, customers, forest):
-    estimator = forest.stages[-1]
-    tables = explain._trees(estimator, spark)
+def test_tree_values_by_definition(customers, forest):
+    model = forest.stages[-1]
     vectors = forest.stages[0].transform(customers).limit(6)
     x = np.array([r[0] for r in vectors.select(vector_to_array("features")).collect()])
     expected, base = np.zeros_like(x), 0.0
-    for table in tables:
-        nodes = {}
-        for i, n in table.iterrows():
-            leaf = n["leftChild"] < 0
-            left, right, cut = n["leftChild"], n["rightChild"], None
-            if not leaf:
-                cut, left, right = explain._split_at(n["split"], left, right)
-            stats = np.asarray(n["impurityStats"])
-            nodes[i] = {
-                "left": left, "right": right, "cut": cut, "rows": n["rawCount"],
-                "f": None if leaf else n["split"]["featureIndex"], "value": stats[1] / stats.sum(),
+    for tree in model.trees:
+        cuts = tree.thresholds(model.edges)
+        nodes = {
+            i: {
+                "left": int(tree.left[i]), "right": int(tree.right[i]), "cut": cuts[i], "rows": tree.n[i],
+                "f": int(tree.feature[i]), "value": tree.g[i] / tree.h[i],
             }
+            for i in range(len(cuts))
+        }
         for row in range(len(x)):
             phi, start = brute_shapley(nodes, x[row])
             for f, v in phi.items():
-                expected[row, f] += v / len(tables)
-        base += start / len(tables)
-    paths = [p for t in tables for p in explain._leaf_paths(t, False, 1 / len(tables))]
+                expected[row, f] += v / len(model.trees)
+        base += start / len(model.trees)
+    paths = [p for t in model.trees for p in explain.tree_paths(t, model.edges, 1 / len(model.trees))]
     packed, found_base = explain.pack_paths(paths)
     found = explain.tree_shapley(x, packed)
     assert np.allclose(found, expected) and found_base == pytest.approx(base)
