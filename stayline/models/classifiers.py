@@ -1,18 +1,15 @@
-"""The churn classifiers and the campaign forest as Spark ML pipelines.
-
-Spark grows trees level by level with a depth limit; where a boosted model is
-defined by leaves, the depth is the one with at least as many leaves.
-"""
+"""The churn classifiers and the campaign forest as Spark ML pipelines."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stayline.models.boosted import BoostedClassifier, Boosting
 from stayline.models.forests import ForestClassifier
 from stayline.models.prep import Preprocessor, build_preprocessor
 
@@ -22,11 +19,16 @@ WEIGHT = "_weight"
 # The default settings of each model.
 LOGISTIC = {"max_iter": 1500, "c": 1.0}
 FOREST = {"trees": 350, "min_leaf": 6}
-GRADIENT_BOOSTING = {"iterations": 250, "step": 0.06, "max_depth": 5}
+GRADIENT_BOOSTING = {
+    "iterations": 250, "step": 0.06, "most_leaves": 24, "least_rows": 20, "early_stop": True,
+}
 SAMPLED_BOOSTING = {
-    "iterations": 250, "step": 0.05, "max_depth": 4, "row_share": 0.8, "column_share": "0.8",
+    "iterations": 250, "step": 0.05, "most_depth": 4, "least_rows": 1, "least_h": 1.0, "ridge": 1.0,
+    "row_share": 0.8, "column_share": 0.8,
+}
+SMALL_BOOSTING = {
+    "iterations": 250, "step": 0.05, "most_leaves": 31, "least_rows": 20, "least_h": 0.001,
 }
-SMALL_BOOSTING = {"iterations": 250, "step": 0.05, "max_depth": 5}
 CAMPAIGN_FOREST = {"trees": 350, "min_leaf": 20}
 
 
@@ -79,25 +81,8 @@ def forest(
     )
 
 
-def boosting(
-    seed: int,
-    *,
-    iterations: int,
-    step: float,
-    max_depth: int,
-    row_share: float = 1.0,
-    column_share: str = "all",
-) -> GBTClassifier:
-    return GBTClassifier(
-        labelCol=LABEL,
-        maxIter=iterations,
-        stepSize=step,
-        maxDepth=max_depth,
-        maxBins=256,
-        subsamplingRate=row_share,
-        featureSubsetStrategy=column_share,
-        seed=seed,
-    )
+def boosting(seed: int, **settings) -> BoostedClassifier:
+    return BoostedClassifier(Boosting(seed=seed, **settings), label=LABEL)
 
 
 def _pipeline(prep: Preprocessor, model: Estimator) -> Pipeline:
@@ -132,7 +117,7 @@ def build_gradient_boosting_model(
 def build_xgboost_model(
     df: DataFrame, features: Sequence[str], seed: int = 42, **settings
 ) -> Pipeline:
-    """Boosted trees with row and column sampling."""
+    """Second-order boosted trees to a depth, with rows and columns drawn for each tree."""
     model = boosting(seed, **{**SAMPLED_BOOSTING, **settings})
     return _pipeline(build_preprocessor(df, features), model)
 
@@ -140,7 +125,7 @@ def build_xgboost_model(
 def build_lightgbm_model(
     df: DataFrame, features: Sequence[str], seed: int = 42, **settings
 ) -> Pipeline:
-    """Boosted trees with many small steps; not part of ``build_models``."""
+    """Boosted trees of 31 leaves, best leaf first; not part of ``build_models``."""
     model = boosting(seed, **{**SMALL_BOOSTING, **settings})
     return _pipeline(build_preprocessor(df, features), model)
 

@@ -18,7 +18,7 @@ and at most 2 / min_leaf nodes for each drawn row and tree.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -103,6 +103,8 @@ class Growth:
     picks: int | None = None
     most_depth: int | None = None
     class_weight: str | None = None
+    least_h: float = 0.0
+    ridge: float = 0.0
 
 
 def _batches(batches: Iterator[pa.RecordBatch], width: int):
@@ -115,6 +117,21 @@ def _batches(batches: Iterator[pa.RecordBatch], width: int):
             )
 
 
+#: What a task makes of its batches: (tree, a number for the order of blocks, g, h, kept back, bins).
+Draw = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]
+
+
+def forest_draw(drawing: Drawing, weights: np.ndarray | None, width: int) -> Draw:
+    def draw(batches):
+        for hashes, g, h, bins in _batches(batches, width):
+            for t in range(drawing.trees):
+                at, times, kept_back = drawing.drawn(t, hashes)
+                wg, wh = _weighted(g[at] * times, h[at] * times, None if weights is None else weights[t])
+                yield t, int(hashes[0]), wg, wh, kept_back, bins[at]
+
+    return draw
+
+
 def class_sums(rows: DataFrame, drawing: Drawing, width: int) -> np.ndarray:
     """Drawn weight of (all rows, rows of class 1) for each tree; one number each per task and tree."""
 
@@ -149,7 +166,7 @@ def _weighted(g: np.ndarray, h: np.ndarray, weights: np.ndarray | None) -> tuple
     return g * weights[1], (h - g) * weights[0] + g * weights[1]
 
 
-_KINDS = {"i4": pa.int32(), "i8": pa.int64(), "b": pa.binary()}
+_KINDS = {"i4": pa.int32(), "i8": pa.int64(), "f8": pa.float64(), "b": pa.binary()}
 
 
 def _records(columns: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -185,29 +202,29 @@ class _Tops:
         return depth
 
 
-def _split_large(rows, drawing, growth, weights, n_bins, tops, wanted, seed) -> list[tuple]:
-    """One pass over the rows: (tree, node, feature, cut, rows left, rows right) of ``wanted`` nodes."""
+def split_large(rows: DataFrame, draw: Draw, growth: Growth, n_bins, shapes, wanted, seed: int) -> list:
+    """One pass over the rows: the best split of each of the ``wanted`` (tree, node), with its
+    gain and the sums and rows on both sides. ``shapes`` are the arrays of the trees so far."""
     width, offsets = len(n_bins), np.r_[0, np.cumsum(n_bins)]
-    shape = {t: tops.arrays(t) for t, _ in wanted}
-    place = {t: {} for t, _ in wanted}
+    place: dict[int, dict[int, int]] = {}
     for t, node in wanted:
-        place[t][node] = len(place[t])
+        place.setdefault(t, {})[node] = len(place.get(t, {}))
+    shape = {t: shapes[t] for t in place}
 
     def run(batches):
         sums = {t: np.zeros((3, len(nodes), offsets[-1])) for t, nodes in place.items()}
-        for hashes, g, h, bins in _batches(batches, width):
-            for t, nodes in place.items():
-                at, weight, kept_back = drawing.drawn(t, hashes)
-                at, weight = at[~kept_back], weight[~kept_back]
-                rank = np.full(len(shape[t][0]), -1)
-                rank[list(nodes)] = list(nodes.values())
-                own = rank[descend(*shape[t], bins[at])]
-                at, weight, own = at[own >= 0], weight[own >= 0], own[own >= 0]
-                wg, wh = _weighted(g[at] * weight, h[at] * weight, None if weights is None else weights[t])
-                for f in range(width):
-                    cell = own * offsets[-1] + offsets[f] + bins[at, f]
-                    for k, v in enumerate((wg, wh, None)):
-                        sums[t][k] += np.bincount(cell, v, sums[t][k].size).reshape(sums[t][k].shape)
+        for t, _, g, h, kept_back, bins in draw(batches):
+            if t not in place:
+                continue
+            rank = np.full(len(shape[t][0]), -1)
+            rank[list(place[t])] = list(place[t].values())
+            own = rank[descend(*shape[t], bins)]
+            own[kept_back] = -1
+            at = np.flatnonzero(own >= 0)
+            for f in range(width):
+                cell = own[at] * offsets[-1] + offsets[f] + bins[at, f]
+                for k, v in enumerate((g[at], h[at], None)):
+                    sums[t][k] += np.bincount(cell, v, sums[t][k].size).reshape(sums[t][k].shape)
         out = [(t, node, sums[t][:, k].tobytes()) for t, nodes in place.items() for node, k in nodes.items()]
         yield _records("tree:i4 node:i4 sums:b", out)
 
@@ -215,23 +232,51 @@ def _split_large(rows, drawing, growth, weights, n_bins, tops, wanted, seed) ->
         tree, node = (k.as_py() for k in key)
         g, h, n = sum(np.frombuffer(s).reshape(3, -1) for s in table["sums"].to_pylist())
         order = np.random.default_rng([seed, tree, node]).permutation(width)
-        best = (0.0, -1, 0, 0, 0)
+        best = (1e-9, -1, 0, *[0.0] * 6)
         for k, f in enumerate(order):
             if k >= (growth.picks or width) and best[1] >= 0:
                 break
             gl, hl, nl = (np.cumsum(x[offsets[f] : offsets[f + 1]]) for x in (g, h, n))
             gr, hr, nr = gl[-1] - gl, hl[-1] - hl, nl[-1] - nl
-            fits = (nl >= growth.least_rows) & (nr >= growth.least_rows) & (hl > 0) & (hr > 0)
+            fits = (nl >= growth.least_rows) & (nr >= growth.least_rows) & (hl > growth.least_h) & (hr > growth.least_h)
             with np.errstate(divide="ignore", invalid="ignore"):
-                gain = np.where(fits, gl**2 / hl + gr**2 / hr - gl[-1] ** 2 / hl[-1], -np.inf)
+                gain = gl**2 / (hl + growth.ridge) + gr**2 / (hr + growth.ridge) - gl[-1] ** 2 / (hl[-1] + growth.ridge)
+            gain = np.where(fits, gain, -np.inf)
             top = int(np.argmax(gain))
             if gain[top] > best[0]:
-                best = (float(gain[top]), int(f), top, int(nl[top]), int(nr[top]))
-        found = _records("tree:i4 node:i4 feature:i4 cut:i4 below:i8 above:i8", [(tree, node, *best[1:])])
-        return pa.Table.from_batches([found])
+                best = (float(gain[top]), int(f), top, *(float(x[top]) for x in (gl, hl, nl, gr, hr, nr)))
+        return pa.Table.from_batches([_records(_SPLIT, [(tree, node, *best)])])
 
     found = rows.mapInArrow(run, "tree int, node int, sums binary").groupBy("tree", "node")
-    return found.applyInArrow(choose, "tree int, node int, feature int, cut int, below long, above long").collect()
+    return found.applyInArrow(choose, ", ".join(f"{n} {_SQL[k]}" for n, k in (c.split(":") for c in _SPLIT.split()))).collect()
+
+
+_SPLIT = "tree:i4 node:i4 gain:f8 feature:i4 cut:i4 gl:f8 hl:f8 nl:f8 gr:f8 hr:f8 nr:f8"
+_SQL = {"i4": "int", "f8": "double"}
+
+
+def dealt_rows(rows: DataFrame, draw: Draw, shapes) -> DataFrame:
+    """The drawn rows in blocks by tree and open node."""
+
+    def deal(batches):
+        for t, first, g, h, kept_back, bins in draw(batches):
+            node = descend(*shapes[t], bins)
+            out = []
+            for leaf in np.unique(node):
+                own = node == leaf
+                arrays = (g[own], h[own], kept_back[own], bins[own])
+                out.append((t, int(leaf), first, *(np.ascontiguousarray(x).tobytes() for x in arrays)))
+            yield _records("tree:i4 node:i4 first:i8 g:b h:b kept_back:b bins:b", out)
+
+    return rows.mapInArrow(deal, "tree int, node int, first long, g binary, h binary, kept_back binary, bins binary")
+
+
+def gathered(table: pa.Table, width: int) -> tuple[np.ndarray, ...]:
+    """g, h, kept back and bins of the rows of one (tree, node)."""
+    table = table.sort_by("first")  # sums do not depend on which block came first
+    g, h = (np.frombuffer(b"".join(table[c].to_pylist())) for c in ("g", "h"))
+    kept_back = np.frombuffer(b"".join(table["kept_back"].to_pylist()), bool)
+    return g, h, kept_back, np.frombuffer(b"".join(table["bins"].to_pylist()), np.uint8).reshape(len(g), width)
 
 
 def grow_forest(
@@ -245,43 +290,29 @@ def grow_forest(
     elif growth.class_weight == "all":
         ones, total = rows.agg(F.sum("g"), F.sum("h")).first()
         weights = np.repeat(class_weights(np.array([[total, ones]])), drawing.trees, axis=0)
+    draw = forest_draw(drawing, weights, width)
     tops, total = _Tops(drawing.trees), rows.count()
     large = [(t, 0) for t in range(drawing.trees)] if total > node_rows else []
     at_once = max(1, _CELLS // (3 * int(sum(n_bins))))
     while large:
-        found = []
+        found, shapes = [], [tops.arrays(t) for t in range(drawing.trees)]
         for k in range(0, len(large), at_once):
-            found += _split_large(rows, drawing, growth, weights, n_bins, tops, large[k : k + at_once], seed)
+            found += split_large(rows, draw, growth, n_bins, shapes, large[k : k + at_once], seed)
         large = []
-        for tree, node, feature, cut, below, above in found:
-            if feature >= 0:
-                children = tops.split(tree, node, feature, cut)
-                for child, size in zip(children, (below, above)):
-                    deep = growth.most_depth is not None and tops.depth(tree, child) >= growth.most_depth
+        for r in found:
+            if r["feature"] >= 0:
+                children = tops.split(r["tree"], r["node"], r["feature"], r["cut"])
+                for child, size in zip(children, (r["nl"], r["nr"])):
+                    deep = growth.most_depth is not None and tops.depth(r["tree"], child) >= growth.most_depth
                     if size > node_rows and not deep:
-                        large.append((tree, child))
+                        large.append((r["tree"], child))
     shapes = [tops.arrays(t) for t in range(drawing.trees)]
     depths = [{n: tops.depth(t, n) for n in np.flatnonzero(s[0] < 0).tolist()} for t, s in enumerate(shapes)]
-
-    def deal(batches):
-        for hashes, g, h, bins in _batches(batches, width):
-            out = []
-            for t in range(drawing.trees):
-                at, weight, kept_back = drawing.drawn(t, hashes)
-                node = descend(*shapes[t], bins[at])
-                wg, wh = _weighted(g[at] * weight, h[at] * weight, None if weights is None else weights[t])
-                for leaf in np.unique(node):
-                    own = node == leaf
-                    arrays = (wg[own], wh[own], kept_back[own], bins[at[own]])
-                    out.append((t, int(leaf), int(hashes[0]), *(np.ascontiguousarray(x).tobytes() for x in arrays)))
-            yield _records("tree:i4 node:i4 first:i8 g:b h:b kept_back:b bins:b", out)
+    dealt = dealt_rows(rows, draw, shapes)
 
     def branch(key, table):
         tree, node = (k.as_py() for k in key)
-        table = table.sort_by("first")  # sums do not depend on which block came first
-        g, h = (np.frombuffer(b"".join(table[c].to_pylist())) for c in ("g", "h"))
-        kept_back = np.frombuffer(b"".join(table["kept_back"].to_pylist()), bool)
-        bins = np.frombuffer(b"".join(table["bins"].to_pylist()), np.uint8).reshape(len(g), width)
+        g, h, kept_back, bins = gathered(table, width)
         depth = None if growth.most_depth is None else growth.most_depth - depths[tree][node]
         own = ~kept_back
         grown = grow_tree(
@@ -295,7 +326,6 @@ def grow_forest(
         return pa.table({"tree": pa.array([tree], pa.int32()), "node": pa.array([node], pa.int32()), **arrays})
 
     columns = ", ".join(f"{k} array<double>" for k in _TREE_ARRAYS)
-    dealt = rows.mapInArrow(deal, "tree int, node int, first long, g binary, h binary, kept_back binary, bins binary")
     # a tree costs more than its few bytes say: as many tasks as cores, or as the drawn rows need
     cores = rows.sparkSession.sparkContext.defaultParallelism
     tasks = max(4 * cores, -(-total * drawing.trees // node_rows))

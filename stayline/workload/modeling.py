@@ -17,15 +17,6 @@ from stayline.workload.registry import as_doubles, query, rounded
 from stayline.workload.relational import retention, sparse_retention
 from stayline.workload.views import load_view, oracle
 
-# Boosted trees and the comparison of all models run reduced here: 250 rounds take minutes each.
-SMALL_FOREST = {"trees": 20, "max_depth": 6}
-SMALL_BOOSTING = {"iterations": 8, "max_depth": 4}
-SMALL_SETTINGS = {
-    "random_forest": SMALL_FOREST,
-    "gradient_boosting": SMALL_BOOSTING,
-    "xgboost": SMALL_BOOSTING,
-}
-
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_view(spark, sf_dir, "churn_scored")
@@ -458,20 +449,15 @@ def _register_model(name: str, build, **settings) -> None:
 _register_model("model_logistic", classifiers.build_logistic_model)
 _register_model("model_logistic_pca", classifiers.build_logistic_pca_model)
 _register_model("model_random_forest", classifiers.build_random_forest_model)
-_register_model("model_gbt", classifiers.build_gradient_boosting_model, **SMALL_BOOSTING)
-_register_model("model_gbt_sampled", classifiers.build_xgboost_model, **SMALL_BOOSTING)
-_register_model("model_gbt_small", classifiers.build_lightgbm_model, **SMALL_BOOSTING)
+_register_model("model_gbt", classifiers.build_gradient_boosting_model)
+_register_model("model_gbt_sampled", classifiers.build_xgboost_model)
+_register_model("model_gbt_small", classifiers.build_lightgbm_model)
 
 
 @query("churn_scores")
 def churn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole comparison of five models with small trees and three folds."""
-    analysis = churn.run_churn_analysis(
-        churn.add_business_features(sparse_retention(spark, sf_dir)),
-        folds=3,
-        settings=SMALL_SETTINGS,
-        importance_repeats=0,
-    )
+    """The whole comparison of five models at their defaults."""
+    analysis = churn.run_churn_analysis(churn.add_business_features(sparse_retention(spark, sf_dir)))
     return as_doubles(analysis.predictions, "monthly_charge", "cltv")
 
 

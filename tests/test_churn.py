@@ -138,8 +138,8 @@ def test_models_score_every_row(customers):
         modeling.FEATURES,
         settings={
             "random_forest": {"trees": 3, "max_depth": 3},
-            "gradient_boosting": {"iterations": 2, "max_depth": 2},
-            "xgboost": {"iterations": 2, "max_depth": 2},
+            "gradient_boosting": {"iterations": 2, "most_leaves": 4},
+            "xgboost": {"iterations": 2, "most_depth": 2},
         },
     )
     assert list(models) == [
@@ -154,8 +154,10 @@ def test_models_score_every_row(customers):
 def test_default_settings():
     forest = classifiers.forest("features", "label", 1, **classifiers.FOREST)
     assert (forest.trees, forest.min_leaf, forest.max_depth) == (350, 6, None)
-    sampled = classifiers.boosting(1, **classifiers.SAMPLED_BOOSTING)
-    assert (sampled.getMaxIter(), sampled.getMaxDepth(), sampled.getSubsamplingRate()) == (250, 4, 0.8)
+    sampled = classifiers.boosting(1, **classifiers.SAMPLED_BOOSTING).settings
+    assert (sampled.iterations, sampled.most_depth, sampled.row_share, sampled.ridge) == (250, 4, 0.8, 1.0)
+    leafwise = classifiers.boosting(1, **classifiers.GRADIENT_BOOSTING).settings
+    assert (leafwise.iterations, leafwise.most_leaves, leafwise.most_depth) == (250, 24, None)
 
 
 def test_whole_churn_analysis(spark):
@@ -165,8 +167,8 @@ def test_whole_churn_analysis(spark):
         folds=2,
         settings={
             "random_forest": {"trees": 3, "max_depth": 3},
-            "gradient_boosting": {"iterations": 2, "max_depth": 2},
-            "xgboost": {"iterations": 2, "max_depth": 2},
+            "gradient_boosting": {"iterations": 2, "most_leaves": 4},
+            "xgboost": {"iterations": 2, "most_depth": 2},
         },
         importance_repeats=1,
     )
@@ -233,6 +235,16 @@ def test_tree_values_by_definition(customers, forest):
     assert np.allclose(found, expected) and found_base == pytest.approx(base)
 
 
+def test_boosted_values_add_up_to_the_log_odds(customers):
+    model = classifiers.build_gradient_boosting_model(customers, modeling.FEATURES, iterations=4).fit(customers)
+    explained = explain.compute_shap_explanation(model, customers, max_rows=40)
+    sums = explained.groupBy("customer_id").agg((F.sum("shap_value") + F.first("base_value")).alias("total"))
+    p = F.col("p")
+    scored = model.transform(customers).select("customer_id", churn.churn_probability().alias("p"))
+    joined = sums.join(scored, "customer_id").withColumn("off", F.abs(F.log(p / (1 - p)) - F.col("total")))
+    assert joined.count() == 40 and joined.where("off > 1e-9").count() == 0
+
+
 def test_values_add_up_to_the_score(customers, forest):
     explained = explain.compute_shap_explanation(forest, customers, max_rows=40)
     sums = explained.groupBy("customer_id").agg(
