@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.bands import export_tenure_group, risk_score, risk_segment
-from stayline.functions.numbers import edge_index
+from stayline.functions.numbers import edge_index, ratio
 from stayline.operators.quantiles import exact_quantiles
+from stayline.plans.experiment import beta_difference, beta_posterior, estimate_ab_effect
 
 
 def with_risk(customers: DataFrame) -> DataFrame:
@@ -95,6 +96,46 @@ def dashboard_breakdowns(
     )
 
 
+def dashboard_slices(customers: DataFrame, slicers: Sequence[str]) -> DataFrame:
+    """Figures for every combination of slicer settings, open slicers included, in one scan.
+
+    ``grouping`` has a bit for each slicer, the first the highest: 1 where it is left open
+    (and its column NULL), 0 where the column holds the chosen level.
+    """
+    return customers.cube(*slicers).agg(
+        F.grouping_id().alias("grouping"),
+        F.count(F.lit(1)).alias("customers"),
+        F.sum(F.col("churn_value").cast("long")).alias("churned_customers"),
+        F.avg(F.col("churn_value").cast("double")).alias("churn_rate"),
+        F.sum(F.when(F.col("churn_value") == 1, F.col("monthly_charge"))).cast("double").alias("revenue_at_risk"),
+    )
+
+
+def experiment_page(
+    experiment: DataFrame, targets: DataFrame, *, retained_value: float, campaign_cost: float
+) -> DataFrame:
+    """One row: both churn rates, their difference, the posterior probability that treatment is
+    better, and what targeting ``targets`` (with ``predicted_uplift``) is expected to earn.
+
+    ``roi`` is expected profit per unit of cost; NULL if nothing is spent.
+    """
+    summary = estimate_ab_effect(experiment).first()
+    arms = {t: (churned, n) for t, churned, n in experiment.groupBy("t").agg(F.sum("y"), F.count("y")).collect()}
+    control, treated = (beta_posterior(arms[t][0], arms[t][1] - arms[t][0]) for t in (0, 1))
+    better = beta_difference(control, treated).probability_above_zero
+    gain = F.coalesce(F.sum("predicted_uplift"), F.lit(0.0)) * retained_value
+    cost = F.count(F.lit(1)) * F.lit(float(campaign_cost))
+    return targets.agg(
+        F.lit(summary["control_churn_rate"]).alias("control_churn_rate"),
+        F.lit(summary["treated_churn_rate"]).alias("treated_churn_rate"),
+        F.lit(summary["absolute_churn_reduction"]).alias("absolute_churn_reduction"),
+        F.lit(better).alias("probability_treatment_better"),
+        (gain - cost).alias("expected_campaign_profit"),
+        ratio(gain - cost, cost).alias("roi"),
+        F.count(F.lit(1)).alias("targeted_customers"),
+    )
+
+
 # Signal, interpretation, possible action.
 RETENTION_ACTIONS = [
     ("Short tenure", "Early-life churn risk", "Improve onboarding and first-90-day support"),

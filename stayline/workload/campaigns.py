@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stayline.functions.hashing import hash_number
+from stayline.models import forests
 from stayline.operators import cleaning
-from stayline.plans import experiment, policy, reports, uplift
+from stayline.plans import experiment, marts, policy, reports, uplift
 from stayline.workload.registry import query, rounded
 from stayline.workload.views import load_view, oracle
 
@@ -192,11 +194,22 @@ def ab_effect_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(effect.drop("p_value_two_sided"), AB_DIGITS)
 
 
-@query("ab_effect_p")
+# The normal tail by Simpson's rule over twelve deviations.
+TAIL_SQL = AB_SQL.format(by="", group="") + """,
+tests as (select effect / nullif(null_error, 0) as z from effects),
+tails as (
+  select z, 2 * sum((case when i in (0, 24000) then 1 when i % 2 = 1 then 4 else 2 end)
+      * exp(-(abs(z) + i * 0.0005) * (abs(z) + i * 0.0005) / 2)) * 0.0005 / 3 / sqrt(2 * pi()) as p
+  from tests, range(24001) r(i) group by z)"""
+
+
+@query(
+    "ab_effect_p",
+    oracle("campaign", "select round(z, 6) as z_statistic, round(p, 9) as p_value_two_sided from tails", TAIL_SQL),
+)
 def ab_effect_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiment.estimate_ab_effect(campaign(spark, sf_dir)).select(
-        "z_statistic", "p_value_two_sided"
-    )
+    effect = experiment.estimate_ab_effect(campaign(spark, sf_dir))
+    return rounded(effect.select("z_statistic", "p_value_two_sided"), {"z_statistic": 6, "p_value_two_sided": 9})
 
 
 @query(
@@ -224,6 +237,71 @@ def bayesian_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiment.bayesian_ab_churn(campaign(spark, sf_dir)).summary
 
 
+# Both posteriors in 4001 cells; the control's distribution function at every cell of the other.
+POSTERIOR_SQL = """params as (
+  select t as arm, cast(1 + sum(y) as double) as a, cast(1 + count(*) - sum(y) as double) as b
+  from campaign group by t),
+reaches as (
+  select *, a / (a + b) as m, 12 * sqrt(a / (a + b) * (b / (a + b)) / (a + b + 1)) as r from params),
+cells as (
+  select arm, a, b, i, greatest(0, m - r) as low, (least(1, m + r) - greatest(0, m - r)) / 4001 as step
+  from reaches, range(4001) g(i)),
+heights as (select *, low + (i + 0.5) * step as x,
+  (a - 1) * ln(low + (i + 0.5) * step) + (b - 1) * ln(1 - low - (i + 0.5) * step) as height from cells),
+raised as (select *, exp(height - max(height) over (partition by arm)) as e from heights),
+weights as (select *, e / sum(e) over (partition by arm) as w from raised),
+upto as (select *, sum(w) over (partition by arm order by i) - w as before from weights),
+placed as (
+  select t.w as v, (t.x - c.low) / c.step as place
+  from upto t, (select any_value(low) as low, any_value(step) as step from upto where arm = 0) c where t.arm = 1),
+below as (
+  select sum(v * case when place <= 0 then 0 when place >= 4001 then 1 else before + (place - floor(place)) * w end) as p
+  from placed left join upto on arm = 0 and i = floor(place)),
+better as (
+  select 1 - p as probability, c.a / (c.a + c.b) - t.a / (t.a + t.b) as reduction
+  from below, params c, params t where c.arm = 0 and t.arm = 1)"""
+
+
+@query(
+    "bayesian_ab_reference",
+    oracle(
+        "campaign",
+        """select round(reduction, 9) as expected_churn_reduction, round(probability, 6) as probability_treatment_better,
+        true as mean_agrees, true as probability_agrees, true as low_agrees, true as high_agrees from better""",
+        POSTERIOR_SQL,
+    ),
+)
+def bayesian_ab_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draws' figures next to the integral's: within five standard errors."""
+    rows = campaign(spark, sf_dir)
+    arms = {t: (y, n) for t, y, n in rows.groupBy("t").agg(F.sum("y"), F.count("y")).collect()}
+    control, treated = (experiment.beta_posterior(arms[t][0], arms[t][1] - arms[t][0]) for t in (0, 1))
+    found = experiment.draws_against_reference(experiment.bayesian_ab_churn(rows).summary, control, treated)
+    return rounded(found, {"expected_churn_reduction": 9, "probability_treatment_better": 6})
+
+
+@query(
+    "experiment_page",
+    oracle(
+        "campaign_scored",
+        """select round(p_c, 9) as control_churn_rate, round(p_t, 9) as treated_churn_rate,
+        round(effect, 9) as absolute_churn_reduction, round(probability, 6) as probability_treatment_better,
+        round(480 * gain - 10 * n, 4) as expected_campaign_profit, round((480 * gain - 10 * n) / nullif(10 * n, 0), 6) as roi,
+        n as targeted_customers
+        from effects, better, (select coalesce(sum(predicted_uplift), 0) as gain, count(*) as n
+          from campaign_scored where predicted_uplift * 480 > 10)""",
+        AB_SQL.format(by="", group="") + "," + POSTERIOR_SQL,
+    ),
+)
+def experiment_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dashboard's experiment page, targeting whom treatment is expected to pay for."""
+    targets = scored(spark, sf_dir).where(F.col("predicted_uplift") * 480 > 10)
+    page = marts.experiment_page(campaign(spark, sf_dir), targets, retained_value=480.0, campaign_cost=10.0)
+    digits = {"control_churn_rate": 9, "treated_churn_rate": 9, "absolute_churn_reduction": 9}
+    digits |= {"probability_treatment_better": 6, "expected_campaign_profit": 4, "roi": 6}
+    return rounded(page, digits)
+
+
 @query("posterior_histogram")
 def posterior_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = experiment.bayesian_ab_churn(campaign(spark, sf_dir)).churn_reduction_samples
@@ -526,6 +604,41 @@ def policy_comparison_per_customer(spark: SparkSession, sf_dir: str) -> DataFram
 
 # Learners
 
+_MAPS = ", ".join(f"({t}, {a}, {b})" for t, (a, b) in enumerate(forests.draw_maps(42, 350)))
+_LIMITS = ", ".join(f"cast('{float(c)!r}' as double)" for c in forests._POISSON)
+
+
+@query(
+    "forest_draws",
+    oracle(
+        "campaign",
+        """select tree, cast(sum(n) as double) as drawn, round(sum(n) / (2 * sum(n * (1 - y))), 9) as weight_0,
+        round(sum(n) / (2 * sum(n * y)), 9) as weight_1 from drawn group by tree""",
+        f"""maps(tree, a, b) as (values {_MAPS}),
+hashed as (
+  select y, cast('0x' || substr(md5('42:draw:' || campaign_row_id), 1, 13) as bigint) % 2147483647 as h
+  from campaign where t = 1),
+drawn as (
+  select tree, y, cast(list_sum(list_transform([{_LIMITS}],
+      lambda c: cast((h * a + b) % 2147483647 / cast(2147483647 as double) >= c as int))) as bigint) as n
+  from hashed, maps)""",
+    ),
+)
+def forest_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the 350 trees of the treated arm draws, and what its classes weigh."""
+    treated = campaign(spark, sf_dir).where("t = 1")
+    rows = treated.select(
+        hash_number("42:draw", F.col("campaign_row_id")).alias("hash"),
+        F.col("y").cast("double").alias("g"),
+        F.lit(1.0).alias("h"),
+        F.lit(b"").alias("bins"),
+    )
+    sums = forests.class_sums(rows, forests.Drawing(42, 350), 0)
+    weights = forests.class_weights(sums)
+    found = [(t, float(sums[t][0]), *map(float, weights[t])) for t in range(len(sums))]
+    out = spark.createDataFrame(found, "tree int, drawn double, weight_0 double, weight_1 double")
+    return rounded(out, {"weight_0": 9, "weight_1": 9})
+
 
 @query("t_learner_scores")
 def t_learner_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

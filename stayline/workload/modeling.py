@@ -454,6 +454,35 @@ _register_model("model_gbt_sampled", classifiers.build_xgboost_model)
 _register_model("model_gbt_small", classifiers.build_lightgbm_model)
 
 
+@query(
+    "logistic_optimality",
+    oracle(
+        "retention",
+        """select model, sum(1 - is_test) as training_rows, cast(sum(churn_value * (1 - is_test)) as bigint) as churned_rows,
+          0.0::double as largest_gradient
+        from split join retention using (customer_id),
+          (select unnest(['logistic_regression', 'logistic_regression_pca']) as model) group by model""",
+        f"split as ({SPLIT_SQL})",
+    ),
+)
+def logistic_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both logistic models are where the penalised loss has no slope."""
+    rows = model_rows(spark, sf_dir)
+    train, _ = split(rows)
+    builders = {
+        "logistic_regression": classifiers.build_logistic_model,
+        "logistic_regression_pca": classifiers.build_logistic_pca_model,
+    }
+    found = None
+    for name, build in builders.items():
+        slopes = churn.penalised_gradient(build(rows, FEATURES, 42).fit(train), train)
+        largest = slopes.agg(F.round(F.max(F.abs("gradient")), 4).alias("largest_gradient"))
+        counted = train.agg(F.count("label").alias("training_rows"), F.sum("churn_value").cast("long").alias("churned_rows"))
+        row = counted.crossJoin(largest).select(F.lit(name).alias("model"), "*")  # one row each
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
 @query("churn_scores")
 def churn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole comparison of five models at their defaults."""

@@ -660,6 +660,25 @@ def dashboard_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SLICERS = ["contract", "internet_type", "tenure_group", "payment_method"]
+
+
+@query(
+    "dashboard_slices",
+    oracle(
+        "export_customers",
+        f"""select {", ".join(SLICERS)}, cast(grouping({", ".join(SLICERS)}) as bigint) as grouping, count(*) as customers,
+        cast(sum(churn_value) as bigint) as churned_customers, round(avg(cast(churn_value as double)), 6) as churn_rate,
+        cast(sum(monthly_charge) filter (where churn_value = 1) as double) as revenue_at_risk
+        from mart group by cube ({", ".join(SLICERS)})""",
+        DASHBOARD_SQL,
+    ),
+)
+def dashboard_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every combination of the four slicers."""
+    return rounded(marts.dashboard_slices(dashboard_customers(spark, sf_dir), SLICERS), {"churn_rate": 6})
+
+
 ACTION_SQL = {
     "Short tenure": "tenure_in_months <= 6",
     "Month-to-month contract": "contract = 'Month-to-Month'",

@@ -218,3 +218,30 @@ def test_named_outputs_reach_the_folder(spark):
     assert read["uplift_deciles"].count() == 10
     assert read["customer_segment_summary"].count() == 5
     assert read["qini_curve"].count() == read["uplift_customer_scores"].count()
+
+
+def test_posterior_integral_against_closed_forms(rows):
+    from stayline.plans.experiment import beta_difference, beta_weights
+
+    x, w = beta_weights(3.0, 5.0, 4001)
+    assert (x * w).sum() == pytest.approx(3 / 8, abs=1e-7)
+    assert (x * x * w).sum() - (x * w).sum() ** 2 == pytest.approx(15 / 576, abs=1e-6)
+    # P(X > Y) of Beta(1, 1) and Beta(2, 1) is 1/3; of two equal ones 1/2
+    assert beta_difference((1.0, 1.0), (2.0, 1.0)).probability_above_zero == pytest.approx(1 / 3, abs=1e-6)
+    same = beta_difference((40.0, 60.0), (40.0, 60.0))
+    assert same.probability_above_zero == pytest.approx(0.5, abs=1e-9) and same.mean == 0
+    assert same.below(-1) == 0 and same.below(1) == pytest.approx(1)
+
+
+def test_experiment_page_without_cost_or_targets(rows):
+    from stayline.plans.marts import experiment_page
+
+    data = [(i, i % 2, int(i % 5 < 2 - i % 2)) for i in range(200)]
+    arms = rows(data, "campaign_row_id long, t int, y int")
+    targets = rows([(0.1,), (0.3,)], "predicted_uplift double")
+    free = experiment_page(arms, targets, retained_value=100.0, campaign_cost=0.0).first()
+    assert free["roi"] is None and free["expected_campaign_profit"] == pytest.approx(40) and free["targeted_customers"] == 2
+    paid = experiment_page(arms, targets, retained_value=100.0, campaign_cost=5.0).first()
+    assert paid["roi"] == pytest.approx(3.0) and paid["control_churn_rate"] == pytest.approx(0.4)
+    nobody = experiment_page(arms, targets.where("false"), retained_value=100.0, campaign_cost=5.0).first()
+    assert nobody["roi"] is None and nobody["expected_campaign_profit"] == 0
