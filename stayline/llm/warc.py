@@ -57,6 +57,11 @@ def _record_id(page_id: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
+def _utc_now() -> Column:
+    """The time of the run in UTC, whatever the session's time zone shows."""
+    return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+
+
 def _lines(*lines: tuple[str, Column]) -> Column:
     """Header lines; those with a null value are left out."""
     return F.concat_ws("", *[F.concat(F.lit(f"{name}: "), value, F.lit(_END)) for name, value in lines])
@@ -78,7 +83,7 @@ def records_as_text(resolved: DataFrame) -> DataFrame:
     head = _lines(
         ("WARC-Type", F.col("record_type")),
         ("WARC-Record-ID", _record_id(F.col("page_id"), digest)),
-        ("WARC-Date", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        ("WARC-Date", F.date_format(_utc_now(), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         ("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")),
         ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
         ("WARC-Profile", F.when(revisit, F.lit(_REVISIT))),

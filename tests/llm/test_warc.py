@@ -53,6 +53,21 @@ def test_round_trip_by_brute_force(spark, rows):
     assert all(r.payload is None for r in found if r.record_type == "revisit")
 
 
+def test_dates_are_utc_in_any_session(spark, rows):
+    from datetime import datetime, timedelta, timezone
+
+    pages = warc.resolve_revisits(rows([(1, "u", "x")], "page_id long, url string, html string"))
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            record = warc.records_as_text(pages).first()["record"]
+            text = record.split("WARC-Date: ")[1].split("\r\n")[0]
+            written = datetime.strptime(text, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc)
+            assert abs(datetime.now(timezone.utc) - written) < timedelta(minutes=5)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_empty_table(spark, rows):
     path = new_path(spark, "warc-test")
     warc.write_archives(warc.resolve_revisits(rows([], "page_id long, url string, html string")), path)
