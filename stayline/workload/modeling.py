@@ -504,14 +504,22 @@ RULE_SQL = """cast(300 + case when contract = 'Month-to-Month' then 220 else 0 e
     - case when premium_tech_support = 'Yes' then 50 else 0 end - 3 * tenure_in_months as double)
     / cast(1200 as double)"""
 RULE_FEATURES = ["tenure_in_months", "contract", "premium_tech_support"]
-SHUFFLE_SQL = f"""rounds as (
-  select i as repeat, r.*, row_number() over (partition by i
-    order by substr(md5('42:shuffle:' || i || ':' || customer_id), 1, 13), customer_id) as place
-  from retention r, range(9) g(i)),
+SHUFFLE_SQL = f"""ranked as (
+  select *, row_number() over (order by substr(md5('42:shuffle:' || customer_id), 1, 13), customer_id) - 1 as place,
+    count(*) over () as n
+  from retention),
+draws as (
+  select i as repeat, n, cast('0x' || substr(md5('42:' || i || ':step'), 1, 13) as bigint) % n + 1 as low,
+    cast('0x' || substr(md5('42:' || i || ':shift'), 1, 13) as bigint) % n as shift
+  from range(1, 9) g(i), (select count(*) as n from retention)),
+moves as (
+  select repeat, shift, min(low + k) as step from draws, range(1000) g(k) where gcd(low + k, n) = 1 group by all),
+givers as (
+  select r.*, repeat, (cast(step as hugeint) * place + shift) % n as receiver from ranked r, moves),
 pairs as (
   select o.repeat, own.churn_value as y,
     {", ".join(f"own.{c} as {c}, o.{c} as other_{c}" for c in RULE_FEATURES)}
-  from rounds own join rounds o on own.place = o.place and own.repeat = 0 and o.repeat > 0),
+  from ranked own join givers o on own.place = o.receiver),
 swapped as ("""
 SHUFFLE_SQL += " union all ".join(
     f"""select '{f}' as feature, repeat, y, """

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 
@@ -281,3 +282,56 @@ def test_shuffling_an_unused_feature_changes_nothing(customers):
         ).collect()
     }
     assert abs(found["unused"]) < 1e-12 and found["contract"] > 0
+
+
+def test_index_shuffles_are_permutations():
+    for n in (1, 2, 7, 12, 30, 210):
+        moves = {explain.index_shuffle(n, f"{s}") for s in range(20)}
+        for step, shift in moves:
+            assert sorted((step * i + shift) % n for i in range(n)) == list(range(n))
+        assert len(moves) > 1 or n == 1
+
+
+def test_permutation_importance_by_brute_force(spark, rows):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
+
+    data = [(i, (i * 7) % 13, (i * 5) % 11, int((i * 7) % 13 + (i * 3) % 5 > 8)) for i in range(30)]
+    frame = rows(data, "customer_id long, a int, b int, label int")
+    rule = PipelineModel(
+        [
+            SQLTransformer(statement="select *, (a + 0.0625 * b) / 20 as _p from __THIS__"),
+            SQLTransformer(statement="select *, 1 - _p as _q from __THIS__"),
+            VectorAssembler(inputCols=["_q", "_p"], outputCol="probability"),
+        ]
+    )
+
+    def precision(scored):
+        scored = list(scored)
+        taken = tp = total = 0
+        for p in sorted({p for p, _ in scored}, reverse=True):
+            tied = [y for q, y in scored if q == p]
+            taken, tp = taken + len(tied), tp + sum(tied)
+            total += sum(tied) * tp / taken
+        return total / tp
+
+    def score(a, b):
+        return (a + 0.0625 * b) / 20
+
+    order = sorted(data, key=lambda r: (hashlib.md5(f"42:shuffle:{r[0]}".encode()).hexdigest()[:13], r[0]))
+    drops = {"a": [], "b": []}
+    for repeat in range(1, 4):
+        step, shift = explain.index_shuffle(30, f"42:{repeat}")
+        giver = {(step * i + shift) % 30: r for i, r in enumerate(order)}
+        for name in drops:
+            drops[name].append(
+                precision(
+                    (score(giver[i][1] if name == "a" else a, giver[i][2] if name == "b" else b), y)
+                    for i, (_, a, b, y) in enumerate(order)
+                )
+            )
+    before = precision((score(a, b), y) for _, a, b, y in data)
+    found = explain.permutation_importance(rule, frame, ["a", "b"], label="label", repeats=3)
+    got = {r["feature"]: r["permutation_importance"] for r in found.collect()}
+    for name in drops:
+        assert abs(got[name] - (before - sum(drops[name]) / 3)) < 1e-9
