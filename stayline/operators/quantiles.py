@@ -4,6 +4,9 @@
 a global sort moves every row. Here a quantile sketch (mergeable, one aggregate)
 brackets each wanted rank, counts confirm the bracket, and only the few values
 inside it are grouped and ranked. No row of the table is shuffled.
+
+The passes read the compared columns alone, written once as doubles: whatever lies behind
+the input (joins, scores, expressions) runs once and not again for every pass.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions.numbers import finite_or_null
 from stayline.operators.ordering import global_rank
+from stayline.session import stage
 
 SKETCH_ACCURACY = 10_000  # rank error of percentile_approx is at most rows / accuracy
 FEW_VALUES = 500  # values left in a bracket that are ranked at last; tables of any size narrow to it
@@ -154,16 +158,19 @@ def order_statistics(
     *,
     counts: Mapping[str, int] | None = None,
     few: int = FEW_VALUES,
+    staged: bool = False,
 ) -> tuple[dict[str, int], dict[str, dict[int, RankedValue]]]:
     """The values at 0-based ascending ``ranks[column](n)`` among ``n`` usable values.
 
     NULL, NaN and infinities are not values. Columns are compared as doubles.
-    ``counts`` saves a pass when the numbers of usable values are known.
-    Returns the counts and, per column, ``{rank: RankedValue}``.
+    ``counts`` saves a pass when the numbers of usable values are known, ``staged`` the copy
+    of columns that are plain staged ones already. Returns the counts and, per column, ``{rank: RankedValue}``.
     """
     names = list(ranks)
     # adding zero makes one value of both signed zeros
     values = df.select(*[(finite_or_null(F.col(c)) + F.lit(0.0)).alias(c) for c in names])
+    if not staged:
+        values = stage(values, "values")
     if counts is None:
         counts = values.agg(*[F.count(c).alias(c) for c in names]).first().asDict()
     brackets = [
@@ -336,6 +343,7 @@ def top_cuts(
             for s, c in scores.items()
         ],
     )
+    work = stage(work, "scores")
     wanted: dict[str, list[int]] = {}
 
     def ranks_for(name: str) -> Callable[[int], list[int]]:
@@ -345,7 +353,7 @@ def top_cuts(
 
         return ranks
 
-    counts, found = order_statistics(work, {s: ranks_for(s) for s in scores}, counts=counts, few=few)
+    counts, found = order_statistics(work, {s: ranks_for(s) for s in scores}, counts=counts, few=few, staged=True)
     cuts: dict[str, list[TopCut]] = {s: [] for s in scores}
     split_ties: dict[tuple[str, float, int], RankedValue] = {}
     for s in scores:
