@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.functions.hashing import hash_number
-from stayline.models import forests
+from stayline.models import forests, prep
 from stayline.operators import cleaning
+from stayline.operators.quantiles import exact_quantiles
 from stayline.plans import experiment, marts, policy, reports, uplift
+from stayline.session import stage
+from stayline.sources.schemas import CAMPAIGN_NUMERIC, CATEGORICAL_COVARIATES
 from stayline.workload.registry import query, rounded
 from stayline.workload.views import load_view, oracle
 
@@ -138,6 +143,93 @@ def covariate_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The campaign at its full width
+
+
+def listed(texts) -> str:
+    return f"unnest([{', '.join(texts)}])"
+
+
+NUMBER_NAMES = listed(f"'{c}'" for c in CAMPAIGN_NUMERIC)
+WIDE_FACTORS = [f"factor{i}" for i in range(1, CATEGORICAL_COVARIATES + 1)]
+
+
+@query(
+    "covariate_balance_wide",
+    oracle(
+        "campaign_wide",
+        f"""select covariate, round(control, 6) as control_mean, round(treated, 6) as treated_mean,
+        round(abs(treated - control), 6) as absolute_mean_difference
+        from (select {NUMBER_NAMES} as covariate,
+            {listed(f"avg({c}) filter (where t = 0)" for c in CAMPAIGN_NUMERIC)} as control,
+            {listed(f"avg({c}) filter (where t = 1)" for c in CAMPAIGN_NUMERIC)} as treated
+          from campaign_wide)
+        order by abs(treated - control) desc, covariate limit 15""",
+    ),
+)
+def covariate_balance_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15 least balanced of 160 numeric covariates."""
+    balance = reports.covariate_balance(load_view(spark, sf_dir, "campaign_wide"))
+    return rounded(
+        balance, {"control_mean": 6, "treated_mean": 6, "absolute_mean_difference": 6}
+    )
+
+
+@query(
+    "covariate_medians_wide",
+    oracle(
+        "campaign_wide",
+        f"""select {NUMBER_NAMES} as covariate, round({listed(f"quantile_cont({c}, 0.5)" for c in CAMPAIGN_NUMERIC)}, 9)
+          as median, {listed(f"count({c})" for c in CAMPAIGN_NUMERIC)} as usable from campaign_wide""",
+    ),
+)
+def covariate_medians_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact medians of 160 columns, narrowed together."""
+    wide = load_view(spark, sf_dir, "campaign_wide").select(*CAMPAIGN_NUMERIC)
+    medians = exact_quantiles(wide, {c: [0.5] for c in CAMPAIGN_NUMERIC})
+    counts = wide.agg(*[F.count(c).alias(c) for c in CAMPAIGN_NUMERIC])
+    return counts.unpivot([], CAMPAIGN_NUMERIC, "covariate", "usable").select(
+        "covariate",
+        F.round(F.element_at(F.create_map(*[F.lit(x) for c in CAMPAIGN_NUMERIC for x in (c, medians[c][0])]), F.col("covariate")), 9)
+        .alias("median"),
+        "usable",
+    )
+
+
+WIDE_PREP_SQL = " union all ".join(
+    [
+        f"""select feature, round((treated - n * middle) / spread, 4) as treated_total from (
+        select {NUMBER_NAMES} as feature, count(*) filter (where t = 1) as n,
+          {listed(f"sum({c}) filter (where t = 1)" for c in CAMPAIGN_NUMERIC)} as treated,
+          {listed(f"avg({c})" for c in CAMPAIGN_NUMERIC)} as middle,
+          {listed(f"stddev_pop({c})" for c in CAMPAIGN_NUMERIC)} as spread from filled)"""
+    ]
+    + [
+        f"""select '{c}_' || coalesce({c}, usual) as feature, cast(count(*) filter (where t = 1) as double) as treated_total
+        from campaign_wide, (select {c} as usual from campaign_wide where {c} is not null
+          group by {c} order by count(*) desc, {c} limit 1) group by 1"""
+        for c in WIDE_FACTORS
+    ]
+)
+WIDE_FILLED_SQL = f"""middles as (
+  select {", ".join(f"quantile_cont({c}, 0.5) as m_{c}" for c in CAMPAIGN_NUMERIC)} from campaign_wide),
+filled as (
+  select t, {", ".join(f"coalesce({c}, m_{c}) as {c}" for c in CAMPAIGN_NUMERIC)} from campaign_wide, middles)"""
+
+
+@query("prep_wide", oracle("campaign_wide", WIDE_PREP_SQL, WIDE_FILLED_SQL))
+def prep_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled, scaled and encoded vectors of all 178 covariates, summed over the treated rows."""
+    features = [*CAMPAIGN_NUMERIC, *WIDE_FACTORS]
+    wide = stage(load_view(spark, sf_dir, "campaign_wide"), "wide")
+    vectors = prep.build_preprocessor(wide, features).fit(wide).transform(wide)
+    names = F.array(*[F.lit(n) for n in prep.feature_names(vectors)])
+    totals = vectors.where("t = 1").agg(Summarizer.sum(F.col("features")).alias("sums"))
+    return totals.select(F.posexplode(vector_to_array("sums")).alias("i", "total")).select(
+        F.element_at(names, F.col("i") + 1).alias("feature"), F.round("total", 4).alias("treated_total")
+    )
+
+
 # Inference
 
 AB_SQL = """arms as (

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stayline.sources.schemas import CATEGORICAL_COVARIATES, NUMERIC_COVARIATES
+
 
 def spark_dialect(sf_dir: str) -> dict[str, str]:
     return {
@@ -70,6 +72,24 @@ campaign as (
          then 1 else 0 end as y
   from campaign_base)"""
 
+# The campaign at the full width of its layout: 160 numbers and 18 factors, some missing.
+_WIDE_NUMBERS = ", ".join(
+    f"""case when (campaign_row_id + {i}) % {37 + i} = 0 then null
+      else cast((campaign_row_id * {2 * i + 1} + pc2 * {i}) % {89 + i}
+        + case when campaign_row_id % {2 + i % 5} = 0 then t * {i % 11} else 0 end as double) end as pc{i}"""
+    for i in range(4, NUMERIC_COVARIATES + 1)
+)
+_WIDE_FACTORS = ", ".join(
+    f"""case when (campaign_row_id + {i}) % {23 + i} = 0 then null
+      else cast((campaign_row_id * {i} + pc2) % {2 + i % 5} as string) end as factor{i}"""
+    for i in range(3, CATEGORICAL_COVARIATES + 1)
+)
+_CAMPAIGN_WIDE = f"""
+campaign_wide as (
+  select campaign_row_id, t, y, cast(pc1 as double) as pc1, cast(pc2 as double) as pc2,
+    cast(pc3 as double) as pc3, {_WIDE_NUMBERS}, factor1, factor2, {_WIDE_FACTORS}
+  from campaign)"""
+
 _CAMPAIGN_SCORED = """
 campaign_points as (
   select campaign_row_id, t, y,
@@ -154,6 +174,7 @@ _TEXTS = {
     "export_experiment": _EXPORT_EXPERIMENT,
     "retention": _RETENTION,
     "campaign": _CAMPAIGN,
+    "campaign_wide": _CAMPAIGN_WIDE,
     "campaign_scored": _CAMPAIGN_SCORED,
     "churn_scored": _CHURN_SCORED,
     "dirty_retention": _DIRTY_RETENTION,
@@ -164,6 +185,7 @@ _NEEDS = {
     "export_experiment": ["campaign"],
     "retention": [],
     "campaign": [],
+    "campaign_wide": ["campaign"],
     "campaign_scored": ["campaign"],
     "churn_scored": ["retention"],
     "dirty_retention": ["retention"],
