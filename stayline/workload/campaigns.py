@@ -146,6 +146,11 @@ def covariate_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The campaign at its full width
 
 
+def wide_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view as a stored table: its 178 derived columns are computed once."""
+    return stage(load_view(spark, sf_dir, "campaign_wide"), "wide")
+
+
 def listed(texts) -> str:
     return f"unnest([{', '.join(texts)}])"
 
@@ -169,7 +174,7 @@ WIDE_FACTORS = [f"factor{i}" for i in range(1, CATEGORICAL_COVARIATES + 1)]
 )
 def covariate_balance_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15 least balanced of 160 numeric covariates."""
-    balance = reports.covariate_balance(load_view(spark, sf_dir, "campaign_wide"))
+    balance = reports.covariate_balance(wide_campaign(spark, sf_dir))
     return rounded(
         balance, {"control_mean": 6, "treated_mean": 6, "absolute_mean_difference": 6}
     )
@@ -185,7 +190,7 @@ def covariate_balance_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def covariate_medians_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact medians of 160 columns, narrowed together."""
-    wide = load_view(spark, sf_dir, "campaign_wide").select(*CAMPAIGN_NUMERIC)
+    wide = wide_campaign(spark, sf_dir).select(*CAMPAIGN_NUMERIC)
     medians = exact_quantiles(wide, {c: [0.5] for c in CAMPAIGN_NUMERIC})
     counts = wide.agg(*[F.count(c).alias(c) for c in CAMPAIGN_NUMERIC])
     return counts.unpivot([], CAMPAIGN_NUMERIC, "covariate", "usable").select(
@@ -221,7 +226,7 @@ filled as (
 def prep_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filled, scaled and encoded vectors of all 178 covariates, summed over the treated rows."""
     features = [*CAMPAIGN_NUMERIC, *WIDE_FACTORS]
-    wide = stage(load_view(spark, sf_dir, "campaign_wide"), "wide")
+    wide = wide_campaign(spark, sf_dir)
     vectors = prep.build_preprocessor(wide, features).fit(wide).transform(wide)
     names = F.array(*[F.lit(n) for n in prep.feature_names(vectors)])
     totals = vectors.where("t = 1").agg(Summarizer.sum(F.col("features")).alias("sums"))
