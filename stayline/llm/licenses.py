@@ -4,6 +4,8 @@ Texts are lower-cased (A-Z) and cut into words of digits, a-z and anything beyon
 One automaton finds every phrase as a run of whole words. Where it meets the identifier
 tag, the expression behind the tag is parsed and evaluated.
 
+A name that is no registered identifier is listed as unknown and gives no label.
+
 Defined results: a null text counts as empty, without words, places or labels; repeated
 rows each give their result; other columns are not read. An empty table gives no rows.
 """
@@ -50,6 +52,18 @@ _TOKEN = re.compile(r"[()]|[a-z0-9.+:_-]+")
 #: Identifiers that share a label with a phrase.
 SAME_LABEL = {"apache-2.0": "apache-2"}
 PERMISSIVE = frozenset("mit apache-2 apache-2.0 bsd bsd-2-clause bsd-3-clause isc zlib cc0 cc0-1.0 unlicense cc-by-4.0".split())
+#: Registered licence identifiers by family, and exceptions, in lower case.
+KNOWN = re.compile(
+    r"(?:[al]?gpl|gfdl)-\d\.\d(?:\.\d)?(?:-only|-or-later)?|gfdl-\d\.\d(?:-no)?-invariants-(?:only|or-later)|"
+    r"(?:apache|afl|artistic|apsl|cpal|cpl|cddl|ecl|epl|eupl|mpl|lppl|ms-pl|osl|qpl|zpl)-\d\.\d[a-z]?(?:\.\d)?(?:-[a-z0-9-]+)?|"
+    r"bsd-[1-4]-clause(?:-[a-z0-9-]+)?|0bsd|bsl-1\.0|busl-1\.1|cc0-1\.0|cc-pddc|"
+    r"cc-by(?:-nc)?(?:-sa|-nd)?-\d\.\d(?:-[a-z]+)?|cecill-(?:\d\.\d|b|c)|odbl-1\.0|odc-by-1\.0|pddl-1\.0|"
+    r"mit(?:-0|-cmu|-advertising|-feh|-modern-variant)?|mulanpsl-\d\.\d|ofl-1\.[01](?:-(?:no-)?rfn)?|openssl|sspl-1\.0|"
+    r"beerware|blueoak-1\.0\.0|curl|ftl|hpnd|icu|ijg|isc|libpng(?:-2\.0)?|ms-pl|ms-rl|ncsa|ntp|php-3\.0?1?|postgresql|"
+    r"psf-2\.0|python-2\.0(?:\.1)?|ruby|sleepycat|tcl|unicode-(?:3\.0|dfs-2016)|unlicense|upl-1\.0|vim|w3c|wtfpl|x11|"
+    r"zlib(?:-acknowledgement)?|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+"
+)
+KNOWN_EXCEPTION = re.compile(r"[a-z0-9.+-]*-exception(?:-[a-z0-9.-]+)?|linux-syscall-note|(?:documentref-[a-z0-9.-]+:)?additionref-[a-z0-9.-]+")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _WORD_BYTES = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
@@ -59,7 +73,9 @@ class Expression:
     text: str
     valid: bool
     permissive: bool
+    #: registered licences, and other names that stand as licences or exceptions
     identifiers: list[str]
+    unknown: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -80,7 +96,7 @@ class Scan:
 
     @property
     def score(self) -> float:
-        if any(e.valid for e in self.expressions) or self.base:
+        if any(e.valid and not e.unknown for e in self.expressions) or self.base:
             return 1.0
         return 0.7 if self.places else 0.3 if self.expressions else 0.0
 
@@ -124,6 +140,7 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
 
 def evaluate(text: str) -> Expression:
     """Whether an expression is well formed, its licences, and whether it permits free reuse.
+    A name that is not registered permits nothing.
 
     ``or`` leaves the choice, ``and`` needs both sides, ``with`` adds an exception, which
     only relaxes the licence to its left.
@@ -135,15 +152,18 @@ def evaluate(text: str) -> Expression:
     stack: list[tuple[bool, list[str]]] = []
     for token in postfix:
         if token in _PRECEDENCE:
-            (right, right_ids), (left, left_ids) = stack.pop(), stack.pop()
+            (right, right_names), (left, left_names) = stack.pop(), stack.pop()
             if token == "with":
-                stack.append((left, left_ids))
+                stack.append((left, left_names + [f"with {name}" for name in right_names]))
             else:
-                stack.append((left or right if token == "or" else left and right, left_ids + right_ids))
+                stack.append((left or right if token == "or" else left and right, left_names + right_names))
         else:
             stack.append((token.removesuffix("+") in PERMISSIVE, [token]))
-    permissive, identifiers = stack[0]
-    return Expression(text.strip(), True, permissive, identifiers)
+    permissive, names = stack[0]
+    identifiers = [x for x in names if KNOWN.fullmatch(x.removesuffix("+"))]
+    exceptions = [x for x in names if x.startswith("with ") and KNOWN_EXCEPTION.fullmatch(x[5:])]
+    unknown = [x.removeprefix("with ") for x in names if x not in identifiers and x not in exceptions]
+    return Expression(text.strip(), True, permissive, identifiers, unknown)
 
 
 @lru_cache(maxsize=1)
@@ -182,7 +202,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, the places, the expressions, all labels and a score for every row."""
     place = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("words", pa.int64()), ("base", pa.bool_())])
     expression = pa.struct(
-        [("text", pa.string()), ("valid", pa.bool_()), ("permissive", pa.bool_()), ("identifiers", pa.list_(pa.string()))]
+        [("text", pa.string()), ("valid", pa.bool_()), ("permissive", pa.bool_()), ("identifiers", pa.list_(pa.string())),
+         ("unknown", pa.list_(pa.string()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +228,6 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         run,
         "doc_id long, n_words long, "
         "places array<struct<label string, first_word long, words long, base boolean>>, "
-        "expressions array<struct<text string, valid boolean, permissive boolean, identifiers array<string>>>, "
+        "expressions array<struct<text string, valid boolean, permissive boolean, identifiers array<string>, unknown array<string>>>, "
         "labels array<string>, score double",
     )

@@ -81,3 +81,26 @@ def test_expressions(text, postfix, permissive):
 @pytest.mark.parametrize("text", ["", "or mit", "mit and", "(mit", "mit and or isc", "()"])
 def test_what_is_no_expression(text):
     assert not licenses.evaluate(text).valid
+
+
+@pytest.mark.parametrize(
+    ("text", "identifiers", "unknown"),
+    [
+        ("see LICENSE file", [], ["see"]),
+        ("foo", [], ["foo"]),
+        ("MIT OR foo", ["mit"], ["foo"]),
+        ("GPL-3.0-or-later WITH Bison-exception-2.2", ["gpl-3.0-or-later"], []),
+        ("GPL-2.0+ WITH nothing", ["gpl-2.0+"], ["nothing"]),
+        ("LGPL-2.1-only AND BSD-3-Clause", ["lgpl-2.1-only", "bsd-3-clause"], []),
+        ("CC-BY-NC-SA-4.0 OR MPL-2.0 OR ISC", ["cc-by-nc-sa-4.0", "mpl-2.0", "isc"], []),
+        ("LicenseRef-Own-1", ["licenseref-own-1"], []),
+        ("mit-like", [], ["mit-like"]),
+    ],
+)
+def test_names_that_are_no_licence(text, identifiers, unknown):
+    found = licenses.evaluate(text)
+    assert (found.valid, found.identifiers, found.unknown) == (True, identifiers, unknown)
+    scanned = licenses.scan(f"SPDX-License-Identifier: {text}".encode())
+    phrases = {p[0] for p in scanned.places}  # "cc by nc" is one in itself
+    assert scanned.labels == sorted({licenses.SAME_LABEL.get(i, i) for i in identifiers} | phrases)
+    assert scanned.score == (0.3 if unknown else 1.0)
