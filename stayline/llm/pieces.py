@@ -26,15 +26,17 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import uuid
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from functools import cache
+from hashlib import sha256
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,9 +53,19 @@ SHORT_CHARS = 63
 #: A square sign goes with the other characters: a piece joins it to a full stop.
 _WORD = re.compile(r" *+[^\W\d_²]+| *+(?:[\d_²]|[^\w \n])+| +|\n")
 _WHOLE = re.compile(r"(?s).+")
+#: The letters of _WORD, and the kinds of characters it tells apart.
+_LETTERS = re.compile(r"[^\W\d_²]+")
+_SPACE, _BREAK, _LETTER, _OTHER = range(4)
+#: Characters or ids looked at together (whole words, whole texts), and an odd factor of hashes.
+_WINDOW, _FACTOR = 1 << 19, np.uint64(0x9E3779B97F4A7C15)
+#: Rows that are Python objects at a time.
+_ROWS = 256
+#: Characters that a word's start may share with the word before.
+_SHARED = 24
 _MARK = "▁"
-#: Edges as one number: a word has fewer than _SIDE characters, a vocabulary fewer than _IDS pieces.
-_SIDE, _IDS = 128, 2**32
+#: Edges as one number: a word has fewer than _SIDE characters, an edge fewer than _BYTES ids, a
+#: vocabulary fewer than _IDS pieces.
+_SIDE, _BYTES, _IDS = 128, 8, 2**32
 
 
 def model_path(name: str = MODEL) -> str:
@@ -88,9 +100,10 @@ class Vocabulary:
         return spark.createDataFrame([(p, i) for p, (i, _) in self.pieces.items()], "piece string, id long")
 
     def scores(self) -> Column:
-        """An array of the scores by id, a constant of the plan."""
+        """An array of the scores by id + 1, a constant of the plan; the cost of a character
+        without a piece is the first."""
         by_id = dict(self.pieces.values())
-        known = [by_id.get(i, self.byte_cost) for i in range(max(by_id) + 1)]
+        known = [by_id.get(i, self.byte_cost) for i in range(-1, max(by_id) + 1)]
         return F.from_json(F.lit(json.dumps(known)), "array<double>")
 
 
@@ -134,7 +147,10 @@ def lattice_paths(words: DataFrame, vocabulary: Vocabulary, tasks: int) -> DataF
 
     Words are dealt out once; substrings, edges and paths stay where their word is. The piece
     table is as large as the vocabulary, which does not grow with the data. An edge travels
-    as one number, (end, begin, id), the id -1 where the character has no piece.
+    as one number, (end, begin, number of ids, id + 1), the last 0 where the character has no piece.
+    The fold goes over the edges by their ends once: ``ends`` holds the best last step to each place
+    that is done, ``best`` the best so far to the place behind them. The order of steps is that of
+    preference: paths to one place whose last pieces are as long have the same beginning.
     """
     size = F.length("word")
     # a small input grows a hundredfold here: as many partitions as its words need, not its bytes
@@ -153,76 +169,123 @@ def lattice_paths(words: DataFrame, vocabulary: Vocabulary, tasks: int) -> DataF
     joined = spans.join(F.broadcast(vocabulary.table(words.sparkSession)), "piece", "left").where(
         "id is not null or length = 1"
     )
-    end, begin = F.col("start") + F.col("length") - 1, F.col("start") - 1
-    edge = (end * _SIDE + begin).cast("long") * _IDS + F.coalesce("id", F.lit(-1).cast("long")) + 1
+    known = F.coalesce(F.col("id") + 1, F.lit(0).cast("long"))
+    n_ids = F.when(F.col("id").isNull(), F.octet_length("piece")).otherwise(F.lit(1))
+    place = (F.col("start") + F.col("length") - 1) * _SIDE + F.col("start") - 1
+    edge = F.shiftleft((place * _BYTES + n_ids).cast("long"), 32) + known
     grouped = (
         joined.select("name", edge.alias("edge"), "word")
         .groupBy("name")
         .agg(F.collect_list("edge").alias("edges"), F.max("word").alias("word"))
     )
-    scores = vocabulary.scores()
-    byte_ids = F.from_json(F.lit(json.dumps(vocabulary.byte_ids)), "array<int>")
+    scores, byte_ids = vocabulary.scores(), F.from_json(F.lit(json.dumps(vocabulary.byte_ids)), "array<int>")
+
+    def followed(state: Column, edge: Column) -> Column:
+        ends, best = state["ends"], state["best"]
+        begin = F.shiftright(edge, 35).bitwiseAND(_SIDE - 1).cast("int")
+        before = F.when(begin == F.size(ends), best).otherwise(F.get(ends, begin))
+        score = before["score"] + F.get(scores, edge.bitwiseAND(_IDS - 1).cast("int"))
+        step = F.struct(
+            score.alias("score"),
+            (before["fewer"] - F.shiftright(edge, 32).bitwiseAND(_BYTES - 1)).alias("fewer"),
+            (-edge).alias("edge"),
+        )
+        same = F.shiftright(edge, 42) == F.size(ends)
+        return (
+            F.when(~same, F.struct(F.array_append(ends, best).alias("ends"), step.alias("best")))
+            .when(score < best["score"], state)
+            .otherwise(F.struct(ends.alias("ends"), F.greatest(best, step).alias("best")))
+        )
 
-    def opened(edge: Column) -> Column:
-        place = F.floor(edge / _IDS)
-        piece = (edge % _IDS - 1).cast("int")
-        begin = (place % _SIDE).cast("int")
+    def bytes_at(begin: Column) -> Column:
         spelled = F.hex(F.encode(F.substr(F.col("word"), begin + 1, F.lit(1)), "UTF-8"))
-        as_bytes = F.transform(
+        return F.transform(
             F.sequence(F.lit(0), (F.length(spelled) / 2).cast("int") - 1),
             lambda i: F.get(byte_ids, F.conv(F.substr(spelled, i * 2 + 1, F.lit(2)), 16, 10).cast("int")),
         )
-        return F.struct(
-            F.floor(place / _SIDE).cast("int").alias("end"),
-            begin.alias("begin"),
-            F.when(piece >= 0, F.get(scores, piece)).otherwise(F.lit(vocabulary.byte_cost)).alias("score"),
-            F.when(piece >= 0, F.array(piece)).otherwise(as_bytes).alias("ids"),
-        )
-
-    nothing = F.array(
-        F.struct(
-            F.lit(0.0).alias("score"),
-            F.lit(0).alias("fewer"),
-            F.array().cast("array<int>").alias("ids"),
-        )
-    )
-
-    def folded(edges: Column) -> Column:
-        def best(paths: Column, end: Column) -> Column:
-            into = F.filter(edges, lambda e: e["end"] == end)
-            last = F.array_max(F.transform(into, lambda e: _extended(F.get(paths, e["begin"]), e)))
-            longer = F.transform(
-                F.array(last),
-                lambda m: F.struct(
-                    m["score"].alias("score"),
-                    m["fewer"].alias("fewer"),
-                    F.concat(F.get(paths, end - m["length"])["ids"], m["ids"]).alias("ids"),
-                ),
-            )
-            return F.concat(paths, longer)
-
-        return F.aggregate(
-            F.sequence(F.lit(1), F.length("word")), nothing, best, lambda p: F.element_at(p, -1)["ids"]
-        )
 
-    # transform over one element names the opened edges once, so that they are computed once
-    paths = F.get(F.transform(F.array(F.transform("edges", opened)), folded), F.lit(0))
+    def back(done: Column, step: Column) -> Column:
+        edge = -step["edge"]
+        begin = F.shiftright(edge, 35).bitwiseAND(_SIDE - 1).cast("int")
+        piece = edge.bitwiseAND(_IDS - 1).cast("int") - 1
+        ids = F.when(piece >= 0, F.array_prepend(done["ids"], piece)).otherwise(F.concat(bytes_at(begin), done["ids"]))
+        here = done["at"] == F.shiftright(edge, 42)
+        return F.when(here, F.struct(begin.alias("at"), ids.alias("ids"))).otherwise(done)
+
+    def traced(state: Column) -> Column:
+        start = F.struct(F.length("word").alias("at"), F.array().cast("array<int>").alias("ids"))
+        steps = F.reverse(F.array_append(state["ends"], state["best"]))
+        return F.aggregate(steps, start, back, lambda done: done["ids"])
+
+    one = "struct<score:double,fewer:bigint,edge:bigint>"
+    # the way to place 0; its edge ends nowhere
+    root = F.struct(F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("fewer"), F.lit(1).cast("long").alias("edge"))
+    nothing = F.struct(F.array().cast(f"array<{one}>").alias("ends"), root.alias("best"))
     return grouped.select(
         F.shiftright("name", 32).cast("int").alias("part"),
         F.col("name").bitwiseAND(F.lit(0xFFFFFFFF)).alias("number"),
-        paths.alias("ids"),
+        F.aggregate(F.sort_array("edges"), nothing, followed, traced).alias("ids"),
     )
 
 
-def _extended(path: Column, edge: Column) -> Column:
-    """What an edge makes of the path before it. The order of these structs is the order of
-    preference: paths to one end whose last pieces are as long have the same beginning."""
-    return F.struct(
-        (path["score"] + edge["score"]).alias("score"),
-        (path["fewer"] - F.size(edge["ids"])).alias("fewer"),
-        (edge["end"] - edge["begin"]).alias("length"),
-        edge["ids"].alias("ids"),
-    )
+@cache
+def _kinds(word: re.Pattern) -> np.ndarray:
+    """The kind of every character, as ``word`` tells them apart."""
+    kinds = np.full(sys.maxunicode + 1, _OTHER, np.uint8)
+    if word is not _WHOLE:
+        signs = np.arange(len(kinds), dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        for run in _LETTERS.finditer(signs):
+            kinds[run.start() : run.end()] = _LETTER
+        kinds[ord(" ")], kinds[ord("\n")] = _SPACE, _BREAK
+    return kinds
+
+
+def _numbered(texts: list[str | None], word: re.Pattern) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words in each text, the number of every word, and the distinct words by number, in the
+    order of their first places: what ``split_words`` gives, for many texts at once.
+
+    Words are told apart by 64-bit hashes; every word is then compared with the first of its
+    number, and should two words share a hash, all are looked up as strings.
+    """
+    sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+    flat = "".join(f" {t}" for t in texts if t)
+    if not flat:
+        return np.zeros(len(texts), np.int32), np.empty(0, np.int64), []
+    points = np.frombuffer(flat.encode("utf-32-le"), np.uint32)
+    kinds = _kinds(word)[points]
+    first = np.ones(len(points), bool)
+    first[1:] = (kinds[1:] != kinds[:-1]) & (kinds[:-1] != _SPACE) | (kinds[1:] == _BREAK)
+    ends = np.cumsum(sizes)
+    first[(ends - sizes)[sizes > 0]] = True
+    starts = np.flatnonzero(first)
+    lengths = np.diff(np.searchsorted(starts, np.r_[0, ends])).astype(np.int32)
+    chars = np.diff(starts, append=len(points))
+    powers = np.cumprod(np.full(int(chars.max()), _FACTOR, np.uint64))
+    # whole words, as many as start in a window of the text
+    edges = np.searchsorted(starts, np.arange(0, len(points) + _WINDOW, _WINDOW))
+    windows = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b]
+    hashes = np.empty(len(starts), np.uint64)
+    for w in windows:
+        begin, inside = starts[w.start], _inside(chars[w])
+        mixed = points[begin : begin + len(inside)] * _FACTOR
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= powers[inside]
+        hashes[w] = np.add.reduceat(mixed, starts[w] - begin)
+    tokens, distinct = pd.factorize(hashes)
+    at = np.empty(len(distinct), np.int64)
+    at[tokens[::-1]] = np.arange(len(tokens))[::-1]
+    same = bool((chars[at][tokens] == chars).all())
+    for w in windows if same else []:
+        begin, away = starts[w.start], np.repeat(starts[at[tokens[w]]] - starts[w], chars[w])
+        away += np.arange(begin, begin + len(away))
+        same = same and bool((points[begin : begin + len(away)] == points[away]).all())
+    if same:
+        words = [flat[a:b] for a, b in zip(starts[at].tolist(), (starts + chars)[at].tolist(), strict=True)]
+        return lengths, tokens, words
+    number: dict[str, int] = {}
+    every = (flat[a:b] for a, b in zip(starts.tolist(), (starts + chars).tolist(), strict=True))
+    tokens = np.fromiter((number.setdefault(w, len(number)) for w in every), np.int64, len(starts))
+    return lengths, tokens, list(number)
 
 
 def make_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS, word: re.Pattern = _WORD) -> DataFrame:
@@ -233,25 +296,24 @@ def make_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS, word: re.Patter
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), *[pa.binary()] * 4, pa.int64()]
     digest = F.col("digest") if "digest" in docs.columns else F.lit(None).cast("binary")
 
-    def block(number: int, ids: list, digests: list, texts: list[list[str]]) -> pa.RecordBatch:
-        often = [w for w, _ in Counter(chain.from_iterable(texts)).most_common()]
-        rank = dict(zip(often, range(len(often)), strict=True))
-        tokens = np.fromiter(map(rank.__getitem__, chain.from_iterable(texts)), np.uint32)
-        words = sorted(often)
-        ranks = np.fromiter(map(rank.__getitem__, words), np.uint32, len(words))
-        lengths = np.array([len(t) for t in texts], np.int32)
-        packed = [pack(lengths), _joined(words), pack_ranks(ranks), pack_ranks(tokens)]
-        values = [number, ids, digests, *packed, len(words)]
+    def block(number: int, ids: list, digests: list, texts: list[str | None]) -> pa.RecordBatch:
+        lengths, tokens, known = _numbered(texts, word)
+        often = np.argsort(-np.bincount(tokens, minlength=len(known)), kind="stable")
+        rank = np.empty(len(known), np.uint32)
+        rank[often] = np.arange(len(known))
+        order = sorted(range(len(known)), key=known.__getitem__)
+        packed = [pack(lengths), _joined([known[i] for i in order]), pack_ranks(rank[order]), pack_ranks(rank[tokens])]
+        values = [number, ids, digests, *packed, len(known)]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         ids, digests, texts, size = [], [], [], 0
-        for batch in batches:
+        for batch in (b.slice(a, _ROWS) for b in batches for a in range(0, b.num_rows, _ROWS)):
             for doc_id, text, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids.append(doc_id)
                 digests.append(known)
-                texts.append(split_words(text, word))
+                texts.append(text)
                 size += len(text or "")
                 if size >= block_chars:
                     yield block(number, ids, digests, texts)
@@ -276,23 +338,22 @@ def _bucketed(blocks: DataFrame) -> DataFrame:
 
 
 def _parts(words: list[str], shards: int) -> np.ndarray:
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    hashes = pd.util.hash_array(np.array(words, object), categorize=False)
     return (((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
 def _joined(words: list[str]) -> bytes:
-    """Words in order, each after the length of the start it shares with the one before."""
-    shared, rest, last = [], [], ""
-    for word in words:
-        n = 0
-        for x, y in zip(word, last, strict=False):
-            if x != y:
-                break
-            n += 1
-        shared.append(n)
-        rest.append(word[n:])
-        last = word
-    lengths = np.array([shared, [len(r) for r in rest]], "<u4")
+    """Words in order, each after the length of the start it shares with the one before (as far
+    as _SHARED characters)."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.array(words, f"<U{_SHARED}").reshape(len(words), 1).view(np.uint32).reshape(len(words), _SHARED)
+    shared = np.zeros(len(words), np.int64)
+    if len(words) > 1:
+        differ = np.ones((len(words) - 1, _SHARED + 1), bool)
+        differ[:, :-1] = starts[1:] != starts[:-1]
+        shared[1:] = np.minimum(differ.argmax(axis=1), np.minimum(sizes[1:], sizes[:-1]))
+    rest = [w[n:] for w, n in zip(words, shared.tolist(), strict=True)]
+    lengths = np.array([shared, sizes - shared], "<u4")
     planes = lengths.view(np.uint8).reshape(-1, 4).T  # all low bytes first: the others are nearly all 0
     letters = "".join(rest).encode()
     return pack(np.r_[np.array([len(words)], "<u4").view(np.uint8), planes.ravel(), np.frombuffer(letters, np.uint8)])
@@ -337,11 +398,15 @@ def encode(
 ) -> DataFrame:
     """doc_id, n_words, n_pieces and ids for every row of ``docs``."""
     docs = docs.select("doc_id", "text")
-    return _encoded(docs, Vocabulary(path or model_path()), block_chars, shard_words).drop("digest")
+    return _encoded(docs, Vocabulary(path or model_path()), block_chars, shard_words).drop("digest", "decoded")
 
 
-def _encoded(docs: DataFrame, vocabulary: Vocabulary, block_chars: int, shard_words: int) -> DataFrame:
-    """``encode`` with the column digest of ``docs``, null where it has none."""
+def _encoded(
+    docs: DataFrame, vocabulary: Vocabulary, block_chars: int, shard_words: int, decode: bool = False
+) -> DataFrame:
+    """``encode`` with the column digest of ``docs``, null where it has none, and decoded, null
+    or the SHA-256 of the text that the ids give where they are put together."""
+    spelled = _speller(vocabulary) if decode else None
     known = (vocabulary.pieces, vocabulary.byte_ids, vocabulary.byte_cost, vocabulary.longest)
     blocks = _bucketed(make_blocks(docs, block_chars, vocabulary.word))
     distinct_most = int(blocks.agg(F.sum("n_words")).first()[0] or 0)  # words of two blocks count twice
@@ -386,9 +451,9 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary, block_chars: int, shard_wo
     )
 
     def assemble(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ["doc_id", "n_words", "n_pieces", "ids", "digest"]
+        names = ["doc_id", "n_words", "n_pieces", "ids", "digest", "decoded"]
         if not blocks.num_rows:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             return pa.table([pa.array([], k) for k in kinds], names)
         row = blocks.to_pylist()[0]
         tokens, lengths = unpack_ranks(row["tokens"]), unpack(row["lengths"], np.int32)
@@ -406,6 +471,13 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary, block_chars: int, shard_wo
         each = sizes[at]
         values = ids[np.repeat(begins[at], each) + _inside(each)].astype(np.int32)
         ends = np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(lengths)]]
+        decoded = [None] * len(lengths)
+        if spelled:
+            decoded = [
+                sha256(found[a + 1 : b]).digest()  # without the leading space
+                for found, offsets in spelled(values, ends)
+                for a, b in pairwise(offsets.tolist())
+            ]
         return pa.table(
             [
                 pa.array(row["doc_ids"], pa.int64()),
@@ -413,6 +485,7 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary, block_chars: int, shard_wo
                 pa.array(np.diff(ends).astype(np.int64)),
                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values)),
                 pa.array(row["digests"], pa.binary()),
+                pa.array(decoded, pa.binary()),
             ],
             names,
         )
@@ -421,26 +494,59 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary, block_chars: int, shard_wo
         blocks.select("block", "doc_ids", "digests", "lengths", "words", "ranks", "tokens")
         .groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(assemble, "doc_id long, n_words long, n_pieces long, ids array<int>, digest binary")
+        .applyInArrow(assemble, "doc_id long, n_words long, n_pieces long, ids array<int>, digest binary, decoded binary")
     )
 
 
 def _inside(sizes: np.ndarray) -> np.ndarray:
     """0, 1, .. inside each run of the given sizes."""
-    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    inside = np.arange(int(sizes.sum()))
+    inside -= np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return inside
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """``encoded`` with ``text``: the bytes of its ids, without the leading space."""
+    """``encoded`` with ``text``: the bytes of its ids, without the leading space. Null ids give
+    an empty text."""
     return _decoded(encoded, Vocabulary(path or model_path()))
 
 
+def _speller(vocabulary: Vocabulary) -> Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    known = [vocabulary.bytes_of.get(i) for i in range(max(vocabulary.bytes_of) + 1)]
+    sizes_of = np.array([-1 if x is None else len(x) for x in known], np.int64)
+    starts_of = np.r_[0, np.cumsum(np.maximum(sizes_of, 0))[:-1]]
+    letters = np.frombuffer(b"".join(x or b"" for x in known), np.uint8)
+
+    def spelled(ids: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The bytes of the texts whose ids lie between ``edges``, and where each begins and the
+        last ends; so many texts at a time as begin in a window of the ids."""
+        cuts = np.searchsorted(edges[:-1], np.arange(0, edges[-1] + _WINDOW, _WINDOW))
+        cuts = np.unique(np.r_[0, cuts, len(edges) - 1])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            some = ids[edges[a] : edges[b]]
+            sizes = sizes_of[some]
+            if (sizes < 0).any():
+                raise KeyError("an id without a piece")
+            found = letters[np.repeat(starts_of[some], sizes) + _inside(sizes)]
+            yield found, np.r_[0, np.cumsum(sizes)][edges[a : b + 1] - edges[a]]
+
+    return spelled
+
+
 def _decoded(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    bytes_of = vocabulary.bytes_of
+    spelled = _speller(vocabulary)
 
-    @F.pandas_udf("string")
-    def text(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: b"".join(bytes_of[i] for i in x).decode()[1:])
+    def texts(found: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(found)]
+        whole = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, buffers)
+        whole.validate(full=True)
+        return pc.utf8_slice_codeunits(whole, 1).cast(pa.string())
+
+    @F.arrow_udf("string")
+    def text(ids: pa.Array) -> pa.Array:
+        edges = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]
+        parts = [texts(*x) for x in spelled(ids.flatten().to_numpy(), edges)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return encoded.withColumn("text", text("ids"))
 
@@ -454,9 +560,9 @@ def round_trip(
 ) -> DataFrame:
     """``encode`` with text_sha256, the digest of the text decoded from the ids, and round_trip,
     whether it is the digest of the text that was read. A null text counts as empty."""
-    vocabulary = Vocabulary(path or model_path())
     read = docs.select("doc_id", "text", F.unhex(_digest(F.col("text"))).alias("digest"))
-    decoded = _decoded(_encoded(read, vocabulary, block_chars, shard_words), vocabulary)
-    found = decoded.withColumn("text_sha256", _digest(F.col("text")))
-    equal = F.unhex("text_sha256") == F.col("digest")
-    return found.select("doc_id", "n_words", "n_pieces", "ids", "text_sha256", equal.alias("round_trip"))
+    found = _encoded(read, Vocabulary(path or model_path()), block_chars, shard_words, decode=True)
+    text_sha256, equal = F.lower(F.hex("decoded")), F.col("decoded") == F.col("digest")
+    return found.select(
+        "doc_id", "n_words", "n_pieces", "ids", text_sha256.alias("text_sha256"), equal.alias("round_trip")
+    )

@@ -45,6 +45,38 @@ def test_words_cover_the_text():
         assert "".join(pieces.split_words(text)) == (f" {text}" if text else "")
 
 
+@pytest.mark.parametrize("word", [pieces._WORD, pieces._WHOLE])
+@pytest.mark.parametrize("factor", [pieces._FACTOR, 0])
+def test_numbered_words_are_those_of_each_text(word, factor, monkeypatch):
+    monkeypatch.setattr(pieces, "_WINDOW", 100)
+    monkeypatch.setattr(pieces, "_FACTOR", pieces.np.uint64(factor))  # with 0 all words share a hash
+    texts = [*TEXTS, " \n \n\n  x", "\n", *TEXTS[::-1], None]
+    lengths, tokens, known = pieces._numbered(texts, word)
+    cut = [pieces.split_words(t, word) for t in texts]
+    flat = [w for words in cut for w in words]
+    assert lengths.tolist() == [len(words) for words in cut]
+    assert known == list(dict.fromkeys(flat))
+    assert [known[i] for i in tokens] == flat
+
+
+def test_numbered_nothing():
+    lengths, tokens, known = pieces._numbered([None, ""], pieces._WORD)
+    assert (lengths.tolist(), tokens.tolist(), known) == ([0, 0], [], [])
+
+
+def test_front_coding_gives_the_words_back():
+    for words in ([], [""], sorted({"", "a", "a\x00", "a\x00b", "x" * 40 + "y", "x" * 40 + "z", "漢字", "漢字仮名", "🎉"})):
+        assert pieces._cut(pieces._joined(words)) == words
+
+
+def test_decoding_takes_null_and_empty_ids(rows, vocabulary, monkeypatch):
+    monkeypatch.setattr(pieces, "_WINDOW", 7)
+    texts = ["", "漢 and é 🎉", "word " * 9, None]
+    lists = [[i for w in pieces.split_words(t) for i in best(w, vocabulary)] if t is not None else None for t in texts]
+    found = pieces.decode(rows(list(enumerate(lists)), "doc_id long, ids array<int>")).collect()
+    assert {r.doc_id: r.text for r in found} == {i: t or "" for i, t in enumerate(texts)}
+
+
 def test_paths_by_brute_force_and_round_trip(rows, vocabulary):
     data = [(i, t, "x", 0) for i, t in enumerate(TEXTS)] + [(4, TEXTS[4], None, 1), (None, "no id", "x", 2)]
     docs = rows(data, "doc_id long, text string, word string, ids int").repartition(3)
