@@ -45,7 +45,7 @@ from stayline.llm.packing import pack, pack_ranks, unpack, unpack_ranks
 from stayline.session import new_path, stage
 
 MODEL = "piece_bpe_32k.model"
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
 SHARD_WORDS = 100_000
 TASK_WORDS = 100_000
 #: Longer words are no rows of the lattice.
