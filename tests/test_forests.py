@@ -1,11 +1,12 @@
 import duckdb
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from stayline.functions.hashing import hash_number
 from stayline.models import forests, trees
+from stayline.plans import explain
 from stayline.session import stage
 
 
@@ -158,3 +159,36 @@ def test_known_effect_is_recovered(spark):
     found = model.transform(rows).groupBy((F.col("x")[1] > 0.3).alias("high")).agg(F.avg("effect").alias("e")).collect()
     effect = {r["high"]: r["e"] for r in found}
     assert effect[True] == pytest.approx(-0.4, abs=0.06) and effect[False] == pytest.approx(0.0, abs=0.06)
+
+
+@pytest.mark.parametrize("node_rows", [60, 250_000])
+def test_large_forests_score_without_the_driver(spark, monkeypatch, node_rows):
+    """A forest that is not broadcast stays a table, and gives the same scores."""
+    rows = frame(spark, 700).withColumns({"y_residual": F.col("y") - 0.5, "t_residual": F.col("t") - 0.5})
+    classes = forests.ForestClassifier(trees=5, min_leaf=4, seed=3, key="id", node_rows=node_rows)
+    effects = forests.EffectForest(trees=5, min_leaf=10, seed=3, key="id", node_rows=node_rows)
+    for estimator, value in ((classes, vector_to_array(F.col("probability"))[1]), (effects, F.col("effect"))):
+        wanted = {r[0]: r[1] for r in estimator.fit(rows).transform(rows).select("id", value).collect()}
+        estimator.broadcast_nodes = 0
+        with monkeypatch.context() as patch:
+            patch.setattr(forests.Forest, "trees", lambda self: pytest.fail("the forest came to the driver"))
+            found = estimator.fit(rows).transform(rows.unionByName(rows.where("id < 9")))
+            found = found.select("id", value).collect()
+        assert len(found) == 709 and all(r[1] == pytest.approx(wanted[r[0]], abs=1e-12) for r in found)
+
+
+@pytest.mark.parametrize("node_rows", [60, 250_000])
+def test_large_forests_are_explained_without_the_driver(spark, monkeypatch, node_rows):
+    rows = frame(spark, 300)
+    estimator = forests.ForestClassifier(trees=3, min_leaf=8, seed=3, key="id", node_rows=node_rows)
+    few = rows.where("id < 20")
+
+    def explained(model):
+        found = explain.tree_contributions(few, "id", ["a", "b", "c"], model).collect()
+        return {(r["id"], r["feature"]): (r["value"], r["shap_value"], r["base_value"]) for r in found}
+
+    wanted = explained(estimator.fit(rows))
+    estimator.broadcast_nodes = 0
+    monkeypatch.setattr(forests.Forest, "trees", lambda self: pytest.fail("the forest came to the driver"))
+    found = explained(estimator.fit(rows))
+    assert len(found) == 60 and all(found[k] == pytest.approx(wanted[k], abs=1e-9) for k in wanted)
