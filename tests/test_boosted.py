@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from stayline.models import boosted, trees
+from stayline.models import boosted, forests, trees
 from stayline.session import stage
 
 
@@ -121,3 +121,15 @@ def test_one_class_and_no_split(spark):
     model = boosted.BoostedClassifier(boosted.Boosting(5, 0.1, most_leaves=4)).fit(frame(spark, x, np.ones(60)))
     scored = model.transform(frame(spark, x, np.ones(60))).select("probability").collect()
     assert all(r["probability"][1] > 0.999 for r in scored)
+
+
+def test_few_histograms_are_added_up_on_the_driver(spark, monkeypatch):
+    """With and without the shuffle the splits of large nodes are the same."""
+    x, y = data(400)
+    rows, s = frame(spark, x, y), boosted.Boosting(3, 0.3, most_leaves=7, least_rows=10)
+    assert forests._DRIVER_CELLS > 0
+    few = boosted.BoostedClassifier(s, key="id", node_rows=90).fit(rows)
+    monkeypatch.setattr(forests, "_DRIVER_CELLS", 0)
+    many = boosted.BoostedClassifier(s, key="id", node_rows=90).fit(rows)
+    for a, b in zip(few.trees, many.trees, strict=True):
+        assert np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut) and np.allclose(a.g, b.g)
