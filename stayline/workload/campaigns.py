@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.functions.hashing import hash_number
+from stayline.functions.numbers import column_groups
 from stayline.models import forests, prep
 from stayline.operators import cleaning
 from stayline.operators.quantiles import exact_quantiles
@@ -15,7 +18,7 @@ from stayline.plans import experiment, marts, policy, reports, uplift
 from stayline.session import stage
 from stayline.sources.schemas import CAMPAIGN_NUMERIC, CATEGORICAL_COVARIATES
 from stayline.workload.registry import query, rounded
-from stayline.workload.views import load_view, oracle
+from stayline.workload.views import load_view, oracle, view_over
 
 
 def campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,8 +150,14 @@ def covariate_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view as a stored table: its 178 derived columns are computed once."""
-    return stage(load_view(spark, sf_dir, "campaign_wide"), "wide")
+    """The view as a stored table: its 178 derived columns are computed once.
+
+    The narrow rows are dealt out before, since a file of few large row groups would leave the
+    wide ones to as few tasks.
+    """
+    rows = campaign(spark, sf_dir)
+    rows = rows.repartition(max(3 * spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
+    return stage(view_over(spark, "campaign_wide", campaign=rows), "wide")
 
 
 def listed(texts) -> str:
@@ -191,9 +200,12 @@ def covariate_balance_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def covariate_medians_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact medians of 160 columns, narrowed together."""
     wide = wide_campaign(spark, sf_dir).select(*CAMPAIGN_NUMERIC)
-    medians = exact_quantiles(wide, {c: [0.5] for c in CAMPAIGN_NUMERIC})
-    counts = wide.agg(*[F.count(c).alias(c) for c in CAMPAIGN_NUMERIC])
-    return counts.unpivot([], CAMPAIGN_NUMERIC, "covariate", "usable").select(
+    medians = exact_quantiles(wide, {c: [0.5] for c in CAMPAIGN_NUMERIC}, staged=True)
+    counts = [
+        wide.agg(*[F.count(c).alias(c) for c in some]).unpivot([], some, "covariate", "usable")
+        for some in column_groups(CAMPAIGN_NUMERIC)
+    ]
+    return reduce(DataFrame.unionByName, counts).select(
         "covariate",
         F.round(F.element_at(F.create_map(*[F.lit(x) for c in CAMPAIGN_NUMERIC for x in (c, medians[c][0])]), F.col("covariate")), 9)
         .alias("median"),

@@ -119,3 +119,36 @@ def test_staged_tables_can_be_removed(spark):
     session.remove_staged(spark)
     assert not Path(path).exists()
     session._written[spark.sparkContext.applicationId] = known
+
+
+def test_staged_columns_are_not_copied(skewed, monkeypatch):
+    from stayline.operators import quantiles
+
+    def refused(df, label):
+        raise AssertionError("a copy of stored columns")
+
+    monkeypatch.setattr(quantiles, "stage", refused)
+    found = exact_quantiles(skewed, {"s": [0.5], "id": [0.5]}, few=30, staged=True)
+    data = skewed.toPandas()
+    assert found == {"s": [float(np.median(data.s))], "id": [float(np.median(data.id))]}
+
+
+def test_thinned_sketches_and_many_edges(spark, monkeypatch):
+    """Sketches thinned again and again, values without a finite one, signed zeros."""
+    from stayline.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "CHUNK", 64)
+    monkeypatch.setattr(quantiles, "SKETCH_POINTS", 16)
+    draw = F.pmod(F.col("id") * 7919, F.lit(6007))
+    odd = F.when(draw % 5 == 0, F.lit("NaN")).when(draw % 5 == 1, "-Infinity").when(draw % 5 == 2, "-0.0")
+    df = spark.range(6000).repartition(3).select(
+        draw.cast("double").alias("x"), odd.otherwise(draw.cast("string")).cast("double").alias("y"),
+        F.lit(None).cast("double").alias("z"),
+    )
+    probs = [i / 40 for i in range(41)]
+    found = exact_quantiles(df, {"x": probs, "y": probs, "z": probs}, few=5)
+    data = df.toPandas()
+    known = data.y[np.isfinite(data.y)]
+    assert found["x"] == pytest.approx(np.quantile(data.x, probs))
+    assert found["y"] == pytest.approx(np.quantile(known, probs))
+    assert found["z"] == [None] * 41
