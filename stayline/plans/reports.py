@@ -7,11 +7,13 @@ handful of rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.bands import customer_segment, tenure_band, tenure_band_order
+from stayline.functions.numbers import column_groups
 from stayline.operators.quantiles import exact_median, exact_quantiles
 
 
@@ -282,30 +284,33 @@ def numeric_covariates(campaign: DataFrame) -> list[str]:
 def covariate_balance(campaign: DataFrame, *, top: int | None = 15) -> DataFrame:
     """Arm means per numeric covariate, largest absolute difference first.
 
-    One scan computes every mean; covariates become rows afterwards.
+    Some columns at a time, each of which is read once; covariates become rows afterwards.
     """
-    names = numeric_covariates(campaign)
-    means = campaign.agg(
-        *[
-            F.avg(F.when(F.col("t") == arm, F.col(c).cast("double"))).alias(f"{c}_{arm}")
-            for c in names
-            for arm in (0, 1)
-        ]
-    )
-    long = means.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("covariate"),
-                        F.col(f"{c}_0").alias("control_mean"),
-                        F.col(f"{c}_1").alias("treated_mean"),
-                    )
-                    for c in names
-                ]
+
+    def arm_means(names: list[str]) -> DataFrame:
+        means = campaign.agg(
+            *[
+                F.avg(F.when(F.col("t") == arm, F.col(c).cast("double"))).alias(f"{c}_{arm}")
+                for c in names
+                for arm in (0, 1)
+            ]
+        )
+        return means.select(
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(c).alias("covariate"),
+                            F.col(f"{c}_0").alias("control_mean"),
+                            F.col(f"{c}_1").alias("treated_mean"),
+                        )
+                        for c in names
+                    ]
+                )
             )
         )
-    )
+
+    long = reduce(DataFrame.unionByName, map(arm_means, column_groups(numeric_covariates(campaign))))
     gap = F.abs(F.col("treated_mean") - F.col("control_mean"))
     ranked = long.withColumn("absolute_mean_difference", gap).orderBy(
         F.desc_nulls_last("absolute_mean_difference"), "covariate"

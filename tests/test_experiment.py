@@ -245,3 +245,30 @@ def test_experiment_page_without_cost_or_targets(rows):
     assert paid["roi"] == pytest.approx(3.0) and paid["control_churn_rate"] == pytest.approx(0.4)
     nobody = experiment_page(arms, targets.where("false"), retained_value=100.0, campaign_cost=5.0).first()
     assert nobody["roi"] is None and nobody["expected_campaign_profit"] == 0
+
+
+def test_wide_rows_are_dealt_to_all_cores(spark):
+    """The source is one file of one row group."""
+    from stayline.workload.campaigns import wide_campaign
+    from stayline.workload.views import load_view
+
+    wide = wide_campaign(spark, "/root/testdata/sf0.001")
+    files = wide.groupBy(F.input_file_name()).count().count()
+    assert files >= spark.sparkContext.defaultParallelism
+    some = ["campaign_row_id", "t", "y", "pc1", "pc77", "factor18"]
+    expected = load_view(spark, "/root/testdata/sf0.001", "campaign_wide")
+    assert sorted(map(str, wide.select(some).collect())) == sorted(map(str, expected.select(some).collect()))
+
+
+def test_balance_of_more_columns_than_one_group(rows):
+    from stayline.functions.numbers import GROUP_COLUMNS
+    from stayline.plans.reports import covariate_balance
+
+    n = GROUP_COLUMNS + 3
+    names = [f"pc{i}" for i in range(n)]
+    df = rows(
+        [(0, 0, *map(float, range(n))), (1, 1, *[2.0 * i for i in range(n)]), (1, 0, *[None] * n)],
+        "t int, y int, " + ", ".join(f"{c} double" for c in names),
+    )
+    found = covariate_balance(df, top=None).collect()
+    assert [(r["covariate"], r["absolute_mean_difference"]) for r in found] == [(f"pc{i}", float(i)) for i in reversed(range(n))]
