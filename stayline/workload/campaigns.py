@@ -239,7 +239,7 @@ def prep_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filled, scaled and encoded vectors of all 178 covariates, summed over the treated rows."""
     features = [*CAMPAIGN_NUMERIC, *WIDE_FACTORS]
     wide = wide_campaign(spark, sf_dir)
-    vectors = prep.build_preprocessor(wide, features).fit(wide).transform(wide)
+    vectors = prep.build_preprocessor(wide, features, staged=True).fit(wide).transform(wide)
     names = F.array(*[F.lit(n) for n in prep.feature_names(vectors)])
     totals = vectors.where("t = 1").agg(Summarizer.sum(F.col("features")).alias("sums"))
     return totals.select(F.posexplode(vector_to_array("sums")).alias("i", "total")).select(

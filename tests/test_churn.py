@@ -328,3 +328,22 @@ def test_permutation_importance_by_brute_force(spark, rows):
     got = {r["feature"]: r["permutation_importance"] for r in found.collect()}
     for name in drops:
         assert abs(got[name] - (before - sum(drops[name]) / 3)) < 1e-9
+
+
+def test_statistics_of_stored_columns_need_no_copy(rows, monkeypatch):
+    """More columns than are aggregated together, with gaps and infinities."""
+    from stayline.functions.numbers import GROUP_COLUMNS
+    from stayline.models.prep import numeric_statistics
+    from stayline.operators import quantiles
+
+    def refused(df, label):
+        raise AssertionError("a copy of stored columns")
+
+    monkeypatch.setattr(quantiles, "stage", refused)
+    names = [f"c{i}" for i in range(GROUP_COLUMNS + 2)]
+    data = [[1.0 + i, 3.0 + i, 8.0 + i, None, float("inf")] for i in range(len(names))]
+    df = rows(list(zip(*data)), ", ".join(f"{c} double" for c in names))
+    found = numeric_statistics(df, names, staged=True)
+    for i, c in enumerate(names):
+        filled = np.array([1.0, 3.0, 8.0, 3.0, 3.0]) + i
+        assert found[c] == pytest.approx((3.0 + i, filled.mean(), filled.std()))
