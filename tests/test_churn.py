@@ -330,6 +330,20 @@ def test_permutation_importance_by_brute_force(spark, rows):
         assert abs(got[name] - (before - sum(drops[name]) / 3)) < 1e-9
 
 
+def test_permutation_importance_reads_its_rows_once(spark, customers):
+    model = classifiers.build_logistic_model(customers, ["tenure_in_months", "contract"]).fit(customers)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        seen.add(1)
+        return v
+
+    known = customers.select("customer_id", "label", "tenure_in_months", "contract").localCheckpoint()
+    rows = known.withColumn("contract", F.udf(counted, "string")("contract"))
+    found = explain.permutation_importance(model, rows, ["tenure_in_months", "contract"], repeats=2)
+    assert found.count() == 2 and seen.value == known.count()
+
+
 def test_statistics_of_stored_columns_need_no_copy(rows, monkeypatch):
     """More columns than are aggregated together, with gaps and infinities."""
     from stayline.functions.numbers import GROUP_COLUMNS
