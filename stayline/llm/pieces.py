@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.llm.packing import pack, pack_ranks, unpack, unpack_ranks
-from stayline.session import new_path, stage
+from stayline.session import new_path
 
 MODEL = "piece_bpe_32k.model"
 BLOCK_CHARS = 8_000_000
@@ -419,7 +419,8 @@ def _encoded(
 
     words = lists.groupBy("part").applyInPandas(distinct, "part int, number long, word string")
     tasks = max(8, -(-distinct_most // TASK_WORDS))
-    paths = stage(lattice_paths(words, vocabulary, tasks), "paths")
+    # no copy in between: the lists are shuffled once, for the distinct words and for their answers
+    paths = lattice_paths(words, vocabulary, tasks)
 
     def answer(lists: pa.Table, paths: pa.Table) -> pa.Table:
         paths = paths.sort_by("number")  # the numbers of the short words in alphabetical order

@@ -138,3 +138,11 @@ def test_no_piece_crosses_a_cut(vocabulary):
 
 def test_empty(rows):
     assert pieces.encode(rows([], "doc_id long, text string")).count() == 0
+
+
+def test_word_lists_are_shuffled_once(rows):
+    """For the distinct words and for their answers."""
+    docs = rows([(i, f"one word of text {i} and another") for i in range(20)], "doc_id long, text string")
+    found = pieces.round_trip(docs)
+    assert all(r["round_trip"] for r in found.collect())
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
