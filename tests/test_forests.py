@@ -1,3 +1,6 @@
+import time
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pytest
@@ -192,3 +195,71 @@ def test_large_forests_are_explained_without_the_driver(spark, monkeypatch, node
     monkeypatch.setattr(forests.Forest, "trees", lambda self: pytest.fail("the forest came to the driver"))
     found = explained(estimator.fit(rows))
     assert len(found) == 60 and all(found[k] == pytest.approx(wanted[k], abs=1e-9) for k in wanted)
+
+
+@pytest.mark.parametrize("rows", [40, 700])
+def test_a_tree_does_not_depend_on_the_pieces_its_rows_are_looked_at_in(monkeypatch, rows):
+    rng = np.random.default_rng(5)
+    bins = rng.integers(0, [3, 200, 2, 1, 2], (3000, 5)).astype(np.uint8)
+    h = rng.choice([0.5, 1.0, 2.0], 3000)
+    g = h * (rng.random(3000) < 0.2 + 0.003 * bins[:, 1])
+    whole = trees.grow_tree(bins, g, h, np.random.default_rng(1), least_rows=2, picks=2)
+    monkeypatch.setattr(trees, "_PIECE_ROWS", rows)
+    monkeypatch.setattr(trees, "_PIECE_NODES", 7)
+    pieces = trees.grow_tree(bins, g, h, np.random.default_rng(1), least_rows=2, picks=2)
+    assert len(whole.n) > 500 and all(np.array_equal(getattr(whole, k), getattr(pieces, k)) for k in vars(whole))
+    packed = trees.packed_nodes(whole.feature, whole.cut, whole.left)
+    assert np.array_equal(trees.leaves_of_bins(packed, bins), whole.leaf_of(bins))
+    assert np.array_equal(trees.leaves_of_bins(packed, bins[:5]), whole.leaf_of(bins[:5]))
+    leaf = whole.leaf_of(bins)
+    assert np.array_equal(trees.node_sums(whole, leaf, np.ones(3000))[0], whole.n)
+
+
+def test_packed_rows_come_back():
+    rng = np.random.default_rng(2)
+    n_bins = [2, 256, 1, 2, 9]
+    for n in (0, 1, 13):
+        bins = rng.integers(0, n_bins, (n, 5)).astype(np.uint8)
+        assert np.array_equal(forests.unpack_bins(forests.pack_bins(bins, n_bins), n, n_bins), bins)
+    few = rng.choice([0.1, -7.5, 1e300], 4000)
+    for x in (few, np.full(9, 0.1), np.arange(300.0), np.arange(200.0), rng.normal(size=50), np.array([np.nan, 1.0]), np.array([])):
+        for most in (0, 2**16):
+            assert np.array_equal(forests.widened(forests.narrowed(x, most), len(x)), x, equal_nan=True)
+    assert len(forests.narrowed(few, 2**16)) < 4100
+
+
+def test_rows_are_dealt_in_turns_whose_shuffles_are_deleted(spark, monkeypatch):
+    """Trees do not depend on the turns, and the rows that were dealt leave no files."""
+    rows = stage(frame(spark, 700), "rows")
+    wanted = forests.ForestClassifier(trees=40, min_leaf=4, seed=3, key="id", class_weight="drawn").fit(rows)
+    monkeypatch.setattr(forests, "DEALT_BYTES", 30_000)
+    folders = [Path(str(f)) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+
+    def shuffled():
+        return {f: f.stat().st_size for folder in folders for f in folder.rglob("shuffle_*.data")}
+
+    before = shuffled()
+    found = forests.ForestClassifier(trees=40, min_leaf=4, seed=3, key="id", class_weight="drawn").fit(rows)
+    for _ in range(50):
+        left = sum(size for f, size in shuffled().items() if f not in before)
+        if left < 30_000:
+            break
+        time.sleep(0.2)
+    assert left < 30_000  # drawn rows alone are about 100,000 bytes
+    for a, b in zip(wanted.trees, found.trees, strict=True):
+        assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in vars(a))
+
+
+@pytest.mark.parametrize("nodes", [0, 300, 4_000_000])
+def test_scores_do_not_depend_on_groups_and_turns(spark, monkeypatch, nodes):
+    rows = frame(spark, 700).withColumns({"y_residual": F.col("y") - 0.5, "t_residual": F.col("t") - 0.5})
+    classes = forests.ForestClassifier(trees=7, min_leaf=4, seed=3, key="id")
+    effects = forests.EffectForest(trees=7, min_leaf=10, seed=3, key="id")
+    for estimator, value in ((classes, vector_to_array(F.col("probability"))[1]), (effects, F.col("effect"))):
+        wanted = {r[0]: r[1] for r in estimator.fit(rows).transform(rows).select("id", value).collect()}
+        estimator.broadcast_nodes = 0
+        with monkeypatch.context() as patch:
+            for k, v in {"GROUP_NODES": nodes, "GROUP_ROWS": 200, "_BLOCK_ROWS": 64, "SCORED_BYTES": 1}.items():
+                patch.setattr(forests, k, v)
+            found = estimator.fit(rows).transform(rows).select("id", value).collect()
+        assert len(found) == 700 and all(r[1] == pytest.approx(wanted[r[0]], abs=1e-12) for r in found)
