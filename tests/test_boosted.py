@@ -1,10 +1,12 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from stayline.models import boosted, forests, trees
-from stayline.session import stage
+from stayline.session import shared_folder, stage
 
 
 def data(n, seed=1):
@@ -133,3 +135,16 @@ def test_few_histograms_are_added_up_on_the_driver(spark, monkeypatch):
     many = boosted.BoostedClassifier(s, key="id", node_rows=90).fit(rows)
     for a, b in zip(few.trees, many.trees, strict=True):
         assert np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut) and np.allclose(a.g, b.g)
+
+
+def test_blocks_staged_anew_replace_the_old_ones(spark, monkeypatch):
+    """Margins are staged every few rounds; no earlier table stays, and the scores are the margins."""
+    monkeypatch.setattr(boosted, "STAGE_ROUNDS", 2)
+    s = boosted.Boosting(7, 0.3, most_leaves=5, least_rows=10)
+    x, y = data(400)
+    before = set(Path(shared_folder(spark)).glob("stayline/margins-*"))
+    model = boosted.BoostedClassifier(s, key="id").fit(frame(spark, x, y))
+    assert set(Path(shared_folder(spark)).glob("stayline/margins-*")) == before
+    margin, _ = brute_margins(trees.bin_values(x, model.edges), y, s, 7)
+    found = model.transform(frame(spark, x, y)).orderBy("id").select("probability").collect()
+    assert np.allclose([r["probability"][1] for r in found], 1 / (1 + np.exp(-margin)))
